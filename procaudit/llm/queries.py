@@ -12,6 +12,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procaudit.llm.common import scratch_path
+    from procaudit.llm.warc import archive_pages
+
+    out = archive_pages(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procaudit.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procaudit.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from procaudit.llm.line_dedup import dedup_lines
 
@@ -32,14 +52,27 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procaudit.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_line_dedup, op6_decontamination, op8_exact_topk)}
+    return {f.__name__: f for f in (op1_warc_archives, op2_toxicity, op3_source_mixing, op5_line_dedup, op6_decontamination, op8_exact_topk, op9_quality)}
 
 
 BLANKS_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 LOWER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLES = {
+    "op1_warc_archives": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+ k AS (SELECT digest, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+ CASE WHEN page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM p LEFT JOIN k USING (digest)""",
     "op5_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
  l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
