@@ -23,6 +23,8 @@ from procaudit.llm.tokens import mixed, per_word, split_words, sums
 SCORER_DOCUMENTS = 20_000
 BUCKETS = 512
 THRESHOLD = 0.5
+#: Prior rate of bad votes on good texts, and its weight in corpora.
+FALSE_ALARM, BELIEF = 0.001, 4.0
 STATISTICS = 9
 #: Frequent words of the four languages of the corpus.
 FREQUENT = frozenset("the of and to in is that it for on with as by at this are be was from or a an der die das und in zu den mit von sich ein eine ist nicht des auf im le la les de des et un une que qui dans en du au pour par sur il elle ou el los las y del se su con una es al lo para".split())
@@ -107,38 +109,52 @@ def _vote_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(counts, pa.int64())], names=["pattern", "n"])
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """(rates, prior) by expectation-maximisation: rates[class, labeller, vote], class 1 good. Starts from the
-    belief that one bad vote makes a text bad, as each labeller looks for a fault that the others do not see."""
+def _log_fit(seen: np.ndarray, rates: np.ndarray, priors: np.ndarray) -> np.ndarray:
+    """log P(class, votes), a row a text, a column a class; a labeller that does not vote says nothing."""
+    labeller = np.arange(len(LABELLERS))
+    return np.stack([np.log(p) + np.where(seen == 1, 0.0, np.log(r[labeller, seen])).sum(1) for r, p in zip(rates, priors, strict=True)], axis=1)
+
+
+def _shares(fit: np.ndarray) -> np.ndarray:
+    x = np.exp(fit - fit.max(axis=1, keepdims=True))
+    return x / x.sum(axis=1, keepdims=True)
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rates, priors, good) by expectation-maximisation: rates[class, labeller, vote], and each pattern's posterior
+    of being good. Class 0 is good; each labeller has a class of its own kind of bad text, since a text with one
+    fault mostly looks good to the labellers of the others. Starts from one bad vote making a text bad."""
     seen = (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
-    good = np.where((seen == 0).any(1), 0.05, 0.95)
-    rates, prior = np.empty((2, len(LABELLERS), 3)), 0.5
+    share = np.concatenate([np.where((seen == 0).any(1), 0.0, 1.0)[:, None], (seen == 0) / np.maximum((seen == 0).sum(1), 1)[:, None]], axis=1)
+    n, classes = counts.sum(), 1 + len(LABELLERS)
+    rates = np.empty((classes, len(LABELLERS), 3))
+    priors = np.empty(classes)
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - good), counts * good])
-        for c in (0, 1):
-            for v in (0, 1, 2):
-                rates[c, :, v] = (weight[c] @ (seen == v) + 0.1) / (weight[c].sum() + 0.3)
-        prior = float((weight[1].sum() + 1) / (counts.sum() + 2))
-        fit = [np.log(rates[c][np.arange(len(LABELLERS)), seen]).sum(1) for c in (0, 1)]
-        new = 1 / (1 + np.exp(np.clip(np.log(1 - prior) + fit[0] - np.log(prior) - fit[1], -700, 700)))
-        done = np.abs(new - good).max() < 1e-9
-        good = new
+        weight = counts[:, None] * share
+        for c in range(classes):
+            bad, well = weight[:, c] @ (seen == 0), weight[:, c] @ (seen == 2)
+            blame, praise = (BELIEF * n * FALSE_ALARM, BELIEF * n * (1 - FALSE_ALARM)) if c == 0 else (0.1, 0.1)  # labellers seldom blame a good text
+            rates[c, :, 0] = (bad + blame) / (bad + well + blame + praise)
+            rates[c, :, 1], rates[c, :, 2] = 1.0, 1 - rates[c, :, 0]
+        priors = (weight.sum(axis=0) + 0.1) / (n + 0.1 * classes)
+        new = _shares(_log_fit(seen, rates, priors))
+        done = np.abs(new - share).max() < 1e-9
+        share = new
         if done:
             break
-    return rates, good, prior
+    return rates, priors, share[:, 0]
 
 
-def posterior(seen: np.ndarray, rates: np.ndarray, prior: float) -> np.ndarray:
-    fit = [np.log(rates[c][np.arange(len(LABELLERS)), seen]).sum(1) for c in (0, 1)]
-    return 1 / (1 + np.exp(np.clip(np.log(1 - prior) + fit[0] - np.log(prior) - fit[1], -700, 700)))
+def posterior(seen: np.ndarray, rates: np.ndarray, priors: np.ndarray) -> np.ndarray:
+    return _shares(_log_fit(seen, rates, priors))[:, 0] if len(seen) else np.zeros(0)
 
 
-def _sample_rows(rates: np.ndarray, prior: float):
+def _sample_rows(rates: np.ndarray, priors: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             statistics, offsets, first, second = examine(batch.column(0))
             n_words = np.diff(offsets)
-            p = posterior(votes(statistics, n_words), rates, prior)
+            p = posterior(votes(statistics, n_words), rates, priors)
             dense = np.zeros((len(p), 2 * BUCKETS))
             owner = np.repeat(np.arange(len(p)), n_words)
             np.add.at(dense, (owner, first), 1.0)
@@ -150,13 +166,13 @@ def _sample_rows(rates: np.ndarray, prior: float):
     return rows
 
 
-def _scorer(weights: np.ndarray, intercept: float, rates: np.ndarray, prior: float):
+def _scorer(weights: np.ndarray, intercept: float, rates: np.ndarray, priors: np.ndarray):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             statistics, offsets, first, second = examine(batch.column(batch.num_columns - 1))
             n_words = np.diff(offsets)
             linear = sums(weights[first] + weights[second], offsets) / np.maximum(n_words, 1) + intercept
-            p = posterior(votes(statistics, n_words), rates, prior)
+            p = posterior(votes(statistics, n_words), rates, priors)
             scores = 1 / (1 + np.exp(-np.clip(linear, -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "posterior", "score"])
 
@@ -175,20 +191,20 @@ def score_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     seen = rows.select("_text").mapInArrow(_vote_codes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3 ** labellers rows
     out = "_id long, _key long, posterior double, score double"
     if not seen:
-        weights, intercept, rates, prior = np.zeros(2 * BUCKETS), 0.0, np.full((2, len(LABELLERS), 3), 1 / 3), 0.5
+        weights, intercept, rates, priors = np.zeros(2 * BUCKETS), 0.0, np.full((1, len(LABELLERS), 3), 1 / 3), np.ones(1)
     else:
         counts = np.array([r["n"] for r in seen], np.float64)
-        rates, good, prior = estimate(np.array([r["pattern"] for r in seen]), counts)
+        rates, priors, good = estimate(np.array([r["pattern"] for r in seen]), counts)
         n = int(counts.sum())
         sample = rows if n <= scorer_documents else rows.where(F.pmod(F.xxhash64("_id", "_key"), F.lit(1_000_000)) < int(1e6 * scorer_documents / n))
         if (good >= 0.5).all() or (good < 0.5).all():
             weights, intercept = np.zeros(2 * BUCKETS), 5.0 if good[0] >= 0.5 else -5.0
         else:
-            labelled = sample.select("_text").mapInArrow(_sample_rows(rates, prior), "p double, f array<double>")
+            labelled = sample.select("_text").mapInArrow(_sample_rows(rates, priors), "p double, f array<double>")
             labelled = labelled.select((F.col("p") >= 0.5).cast("double").alias("label"), F.abs(2 * F.col("p") - 1).alias("sure"), array_to_vector("f").alias("features"))
             model = LogisticRegression(weightCol="sure", regParam=1e-3, maxIter=100, standardization=True).fit(labelled)
             weights, intercept = model.coefficients.toArray(), float(model.intercept)
-    scored = rows.mapInArrow(_scorer(weights, intercept, rates, prior), out)
+    scored = rows.mapInArrow(_scorer(weights, intercept, rates, priors), out)
     return scored.select(F.col("_id").alias(doc_id), F.col("_key").alias("text_key"), "posterior", "score", (F.col("score") >= THRESHOLD).alias("keep"))
 
 
