@@ -1,9 +1,14 @@
 """Every query of the library outside the llm subpackage, with its SQL."""
 
+from __future__ import annotations
+
+from procaudit.plans import relational, scalars  # noqa: F401
+from procaudit.plans.registry import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
