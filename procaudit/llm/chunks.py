@@ -6,7 +6,10 @@ number a key. Both sides are packed arrays, one row a chunk and shard, so the ex
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +30,46 @@ def shard_bounds(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
     """Where each shard's range of the sorted ``keys`` (of ``bits`` bits) begins, and the end."""
     edges = np.array([(s << bits) // shards for s in range(shards)], np.uint64)
     return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+def pack_sorted(keys: np.ndarray, kind: type) -> bytes:
+    """Sorted keys as steps of an unsigned ``kind``; its largest value stands for itself less one key and goes on."""
+    most = np.iinfo(kind).max
+    steps = np.diff(keys.astype(np.int64), prepend=0)
+    full = steps // most
+    out = np.full(len(steps) + int(full.sum()), most, kind)
+    out[np.cumsum(full + 1) - 1] = steps - full * most
+    return out.tobytes()
+
+
+def unpack_sorted(data: bytes, kind: type) -> np.ndarray:
+    steps = np.frombuffer(data, kind).astype(np.int64)
+    return np.cumsum(steps)[steps != np.iinfo(kind).max].astype(np.uint64)
+
+
+def _packer(chunks: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            names, starts = np.unique(chunk[order], return_index=True)
+            rest = pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:])
+            out = []
+            for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+                sink = pa.BufferOutputStream()
+                part = rest.take(pa.array(order[a:b]))
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(part)
+                out.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=["chunk", "data"])
+
+    return pack
+
+
+def packed_chunks(rows: DataFrame, chunks: int) -> DataFrame:
+    """(chunk, data): the other columns of ``rows`` as compressed Arrow streams, one a batch and chunk."""
+    return rows.select("chunk", *[c for c in rows.columns if c != "chunk"]).mapInArrow(_packer(chunks), "chunk long, data binary")
+
+
+def unpacked(messages: pa.Array) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(m).read_all() for m in messages.to_pylist()]).combine_chunks()

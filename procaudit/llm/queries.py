@@ -64,8 +64,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procaudit.llm.kneser_ney import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_archives, op2_toxicity, op3_source_mixing, op5_line_dedup, op6_decontamination, op7_ngram_join, op8_exact_topk, op9_quality)}
+    return {f.__name__: f for f in (op1_warc_archives, op2_toxicity, op3_source_mixing, op5_line_dedup, op6_decontamination, op7_ngram_join, op8_exact_topk, op9_quality, op10_lm_scoring)}
 
 
 BLANKS_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
