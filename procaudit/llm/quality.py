@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procaudit.llm.tokens import mixed, per_word, split_words, sums
+from procaudit.llm.tokens import BYTE_CLASS, CAPITAL, DIGIT, counted, mixed, shape_hashes, split_words, sums, word_bytes
 
 #: Documented bound of the sample that the linear scorer is fitted on, chosen by hash of id and text.
 SCORER_DOCUMENTS = 20_000
@@ -43,32 +44,31 @@ LABELLERS = (
 )
 
 
-def shape(word: str) -> str:
-    """A word's character classes, runs collapsed: capital, letter, other letter, digit, or the sign itself."""
-    out, last = [], ""
-    for c in word[:64]:
-        k = "A" if c.isupper() else "a" if c.isalpha() and c.isascii() else "e" if c.isalpha() else "0" if c.isdigit() else c
-        if k != last:
-            out.append(k)
-            last = k
-    return "".join(out)
+SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"*$%&#|@~^<>{}=+_\\", np.uint8))
 
 
-def _describe(word: str) -> tuple:
-    from xxhash import xxh32_intdigest
-
-    letters = "".join(c for c in word.lower() if c.isalpha())
-    return (sum(c.isupper() for c in word), sum(c in "*$%&#|@~^<>{}=+_\\" for c in word), word.count("!"), len(word), letters in FREQUENT, sum(c.isdigit() for c in word), xxh32_intdigest(shape(word)))
+def describe(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(figures, shapes) of distinct words: capitals, symbols, exclamation marks, characters, whether frequent,
+    digits; and the hash of the word's shape."""
+    data, at = word_bytes(words)
+    kinds = BYTE_CLASS[data]
+    bare = pc.utf8_trim(pc.ascii_lower(words), characters=".,;:!?\"'()")
+    frequent = pc.is_in(bare, value_set=pa.array(sorted(FREQUENT), bare.type)).to_numpy(zero_copy_only=False)
+    figures = [counted(kinds == CAPITAL, at), counted(SYMBOLS[data], at), counted(data == 33, at), pc.utf8_length(words).to_numpy(), frequent, counted(kinds == DIGIT, at)]
+    return np.stack(figures, axis=1).astype(np.float64), shape_hashes(data, at)
 
 
 def examine(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(statistics, offsets, first, second): the labellers' statistics of each text, and the hash buckets of each
     word's shape and of its pair with the word before."""
     offsets, codes, words = split_words(texts)
-    about = per_word(words, _describe, 7)
     n_words = np.diff(offsets)
     n = np.maximum(n_words, 1).astype(np.float64)
-    cols = [sums(about[codes, j], offsets) for j in range(6)] if len(words) else [np.zeros(len(texts))] * 6
+    if len(words):
+        figures, hashes = describe(words)
+        cols, shapes = [sums(figures[codes, j], offsets) for j in range(6)], hashes[codes]
+    else:
+        cols, shapes = [np.zeros(len(texts))] * 6, np.zeros(0, np.uint64)
     chars = np.maximum(cols[3], 1)
     same = np.zeros(len(codes), bool)
     same[1:] = codes[1:] == codes[:-1]
@@ -76,12 +76,15 @@ def examine(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     same[starts] = False
     # distinct words within stretches of 2,000, so that long texts are judged like short ones
     owner = np.repeat(np.arange(len(texts)), n_words)
-    stretch = owner * (1 << 20) + (np.arange(len(codes)) - offsets[:-1][owner]) // 2000
-    distinct = np.bincount((np.unique(np.stack([stretch, codes]), axis=1)[0] >> 20) if len(codes) else [], minlength=len(texts))
+    within = (np.arange(len(codes)) - offsets[:-1][owner]) // 2000
+    stretch = np.cumsum(np.append(0, (within[1:] != within[:-1]) | (owner[1:] != owner[:-1]))) if len(codes) else within
+    key = np.sort(stretch * max(len(words), 1) + codes)
+    new = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    owner_of = owner[np.searchsorted(stretch, new // max(len(words), 1))] if len(key) else new
+    distinct = np.bincount(owner_of, minlength=len(texts))
     lines = [t.split("\n") if t else [""] for t in texts.to_pylist()]
     repeated = np.array([1 - len(set(x)) / len(x) for x in lines])
     statistics = np.stack([cols[0] / chars, cols[1] / chars, cols[2] / chars, sums(same, offsets) / n, distinct / n, repeated, cols[3] / n, cols[4] / n, cols[5] / chars], axis=1)
-    shapes = about[codes, 6].astype(np.uint64) if len(words) else np.zeros(0, np.uint64)
     before = np.concatenate([[np.uint64(0)], shapes[:-1]]) if len(shapes) else shapes
     before[starts] = np.uint64(1)
     pairs = mixed(mixed(before, shapes), same.astype(np.uint64))

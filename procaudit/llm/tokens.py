@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,6 +50,38 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def per_word(words: pa.Array, describe: Callable[[str], tuple], width: int) -> np.ndarray:
-    """``describe`` of each distinct word, as rows of floats."""
-    return np.array([describe(w) for w in words.to_pylist()], np.float64).reshape(len(words), width)
+#: Classes of a word's bytes: capitals, small letters, digits and other ASCII signs; bytes of other letters count as 4.
+CAPITAL, SMALL, DIGIT, SIGN, OTHER = range(5)
+BYTE_CLASS = np.array([CAPITAL if 65 <= b < 91 else SMALL if 97 <= b < 123 else DIGIT if 48 <= b < 58 else SIGN if b < 128 else OTHER for b in range(256)])
+
+
+def word_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of all words one after the other."""
+    words = pa.concat_arrays([words.cast(pa.large_binary())])
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def counted(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of a word's bytes are flagged."""
+    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def shape_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each word's byte classes with runs collapsed; signs count as themselves."""
+    kinds = BYTE_CLASS[data]
+    kinds = np.where(kinds == SIGN, 8 + data.astype(np.int64), kinds)
+    new = np.ones(len(kinds), bool)
+    new[1:] = kinds[1:] != kinds[:-1]
+    new[offsets[:-1][offsets[:-1] < len(kinds)]] = True
+    rank = np.cumsum(new)
+    starts = offsets[:-1][offsets[:-1] < len(kinds)]
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[new]
+    first = np.zeros(len(offsets) - 1, np.int64)
+    first[np.flatnonzero(offsets[:-1] < len(kinds))] = rank[starts]
+    value = mixed(kinds[new].astype(np.uint64), (rank[new] - first[owner]).astype(np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+    ends = np.searchsorted(owner, np.arange(len(offsets)))
+    return total[ends[1:]] - total[ends[:-1]]
