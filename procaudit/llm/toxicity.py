@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procaudit.llm.common import crc_bucket
-from procaudit.llm.tokens import per_word, split_words, sums
+from procaudit.llm.tokens import BYTE_CLASS, CAPITAL, DIGIT, OTHER, SIGN, SMALL, counted, split_words, sums, word_bytes
 
 #: Documented bounds of the labelled samples that the lexicon and the trees are fitted on, chosen by hash of the id.
 LEXICON_DOCUMENTS, TREE_DOCUMENTS = 12_000, 30_000
@@ -74,23 +75,45 @@ def learn_lexicon(labelled: DataFrame, units: int = LEXICON_UNITS) -> dict[str,
     return {r["unit"]: 2 if r["ratio"] >= 25 else 1 for r in best}
 
 
-def _describer(lexicon: dict[str, int]):
-    def describe(word: str) -> tuple:
-        letters = sum(c.isalpha() for c in word)
-        tier = max((lexicon.get(u, 0) for u in units_of(word)), default=0)
-        core = word.strip(".,;:!?\"'()[]")
-        odd = bool(core) and not core.isalpha() and letters > 0 and core.translate(LEET).isalpha()
-        hidden = max((lexicon.get(u, 0) for u in units_of(core.translate(LEET))), default=0) if odd else 0
-        person = "".join(c for c in word.lower() if c.isalpha()) in SECOND_PERSON
-        return (tier == 2, tier == 1, odd and hidden == 2 and tier < 2, odd, person, sum(c.isupper() for c in word), letters > 1 and word.isupper(), sum(not c.isalnum() for c in word), sum(c in "!?" for c in word), len(word), sum(c.isdigit() for c in word))
-
-    return describe
+NOT_LETTERS = r"[^\p{L}]+"
+ALNUM = np.isin(BYTE_CLASS, (CAPITAL, SMALL, DIGIT, OTHER))
+
+
+def describe(words: pa.Array, lexicon: dict[str, int]) -> np.ndarray:
+    """Rows of distinct words: strong, weak, hidden lexicon hit, obfuscated, second person, capitals, all capitals,
+    signs, exclamation and question marks, bytes, digits."""
+    data, at = word_bytes(words)
+    kinds = BYTE_CLASS[data]
+    count = {k: counted(kinds == k, at) for k in (CAPITAL, SMALL, DIGIT, SIGN, OTHER)}
+    letters = pc.replace_substring_regex(pc.utf8_lower(words), NOT_LETTERS, "")
+    length = pc.utf8_length(letters).to_numpy()
+
+    def among(of: pa.Array, units: list[str]) -> np.ndarray:
+        return pc.is_in(of, value_set=pa.array(units, of.type)).to_numpy(zero_copy_only=False)
+
+    tiers = []
+    for tier in (2, 1):
+        hit = among(letters, [u for u in lexicon if lexicon[u] == tier and not u.endswith("*")])
+        for n in PREFIXES:
+            hit |= (length > n) & among(pc.utf8_slice_codeunits(letters, 0, n), [u[:-1] for u in lexicon if lexicon[u] == tier and u.endswith("*") and len(u) == n + 1])
+        tiers.append(hit)
+    core = pc.utf8_trim(words, characters=".,;:!?\"'()[]")
+    odd = ~pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False) & (length > 0) & (pc.utf8_length(core).to_numpy() > 0)
+    hidden = np.zeros(len(words), bool)
+    for i in np.flatnonzero(odd & ~tiers[0]):
+        plain = core[i].as_py().translate(LEET)
+        odd[i] = plain.isalpha()
+        hidden[i] = odd[i] and max((lexicon.get(u, 0) for u in units_of(plain)), default=0) == 2
+    marks = counted((data == 33) | (data == 63), at)
+    capital = (count[CAPITAL] > 1) & (count[SMALL] + count[OTHER] == 0)
+    rows = [tiers[0], tiers[1] & ~tiers[0], hidden, odd, among(letters, sorted(SECOND_PERSON)), count[CAPITAL], capital, counted(~ALNUM[data], at), marks, np.diff(at), count[DIGIT]]
+    return np.stack(rows, axis=1).astype(np.float64)
 
 
 def features(texts: pa.Array, lexicon: dict[str, int]) -> np.ndarray:
     """One row of ``N_FEATURES`` numbers a text; all zeros for a text without words."""
     offsets, codes, words = split_words(texts)
-    about = per_word(words, _describer(lexicon), 11)
+    about = describe(words, lexicon) if len(words) else np.zeros((0, 11))
     n = np.maximum(np.diff(offsets), 1).astype(np.float64)
     total = np.stack([sums(about[codes, j], offsets) for j in range(11)], axis=1) if len(words) else np.zeros((len(texts), 11))
     chars = np.maximum(total[:, 9], 1)
