@@ -32,6 +32,14 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procaudit.llm.repeats import remove_repeats
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["length"])
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from procaudit.llm.line_dedup import dedup_lines
 
@@ -71,7 +79,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_archives, op2_toxicity, op3_source_mixing, op5_line_dedup, op6_decontamination, op7_ngram_join, op8_exact_topk, op9_quality, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_warc_archives, op2_toxicity, op3_source_mixing, op4_suffix_dedup, op5_line_dedup, op6_decontamination, op7_ngram_join, op8_exact_topk, op9_quality, op10_lm_scoring)}
 
 
 BLANKS_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
