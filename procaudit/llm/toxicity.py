@@ -162,7 +162,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     def sampled(df: DataFrame, bound: int) -> DataFrame:
         return df if n <= bound else df.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1e6 * bound / n))
 
-    learned = rows.join(sampled(known, tree_documents), "_id")
+    learned = rows.join(F.broadcast(sampled(known, tree_documents)), "_id")  # about tree_documents ids: the texts stay where they are
     lexicon = learn_lexicon(sampled(learned.where(bucket != 4), lexicon_documents).select("_text", "toxic"))
     extract = _extractor(lexicon)
     vectors = learned.select("_id", "toxic", "_text").mapInArrow(extract, "_id long, toxic int, f array<double>").select("_id", F.col("toxic").cast("double").alias("toxic"), array_to_vector("f").alias("features")).persist()
