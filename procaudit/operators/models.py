@@ -106,3 +106,29 @@ def times_per_request(values: DataFrame, ids: DataFrame) -> DataFrame:
 def ordered_codes(selected: DataFrame) -> DataFrame:
     """``selected`` (id, codigo, score) with each code's place by falling score and code."""
     return selected.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "codigo")))
+
+
+def template_code_scores(matches: DataFrame, template_codes: DataFrame, min_similarity: float = 0.18) -> DataFrame:
+    """(q_id, codigo, score): per code the best of the accepted matches' rounded scores."""
+    near = matches.where(F.col("score") >= min_similarity).join(template_codes, "id")
+    return near.groupBy("q_id", "codigo").agg(F.max("score").alias("score"))
+
+
+def template_support(requests: DataFrame, matches: DataFrame, note: str, min_similarity: float = 0.18) -> DataFrame:
+    """(q_id, plantillas, observacion): the accepted matches in order and a note where there are some; codes stay."""
+    near = matches.where(F.col("score") >= min_similarity).groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda p: p["id"]), ",").alias("plantillas"))
+    out = requests.select("q_id").join(near, "q_id", "left")
+    text = observation_note(F.lit(note), "; plantillas historicas disponibles solo como soporte visual.")
+    return out.select("q_id", F.coalesce("plantillas", F.lit("")).alias("plantillas"), F.when(F.col("plantillas").isNull(), F.lit(note)).otherwise(text).alias("observacion"))
+
+
+def predict_batch(requests: DataFrame, selected: DataFrame, matches: DataFrame, fees: DataFrame | None, times: DataFrame | None, note: str = "Codigos propuestos; validar antes de guardar.") -> DataFrame:
+    """A row a request (id, text): its codes in order of score, templates, fees and time; a request without text or
+    codes gets a status instead."""
+    placed = ordered_codes(selected).withColumnRenamed("codigo", "codigo_norm")
+    codes = placed.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "codigo_norm"))), lambda p: p["codigo_norm"]), ",").alias("codigos"))
+    ids = requests.select("id")
+    out = requests.join(codes, "id", "left").join(fees_per_request(apply_values(placed, fees, None, "100"), ids, note).drop("observacion"), "id").join(times_per_request(apply_values(placed, times, None, "0"), ids), "id")
+    support = template_support(ids.withColumnRenamed("id", "q_id"), matches, note).withColumnRenamed("q_id", "id")
+    status = F.when(F.trim("text") == "", "no_text").when(F.col("codigos").isNull(), "no_codes").otherwise("ok")
+    return out.join(support, "id").select("id", status.alias("status"), F.coalesce("codigos", F.lit("")).alias("codigos"), "honorario", "tiempo_anestesia", "plantillas", "observacion")
