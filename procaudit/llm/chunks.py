@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES, SHARD_BYTES = 12 << 20, 32 << 20
+CHUNK_BYTES, SHARD_BYTES = 6 << 20, 16 << 20
 
 
 def plan_sizes(docs: DataFrame, text: str) -> tuple[int, int]:
