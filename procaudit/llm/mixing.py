@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from procaudit.llm.tokens import split_words
+from procaudit.llm.tokens import pieces, split_words
 
 #: Share of the largest possible entropy that the weights are to reach, and epochs of a source at most.
 TARGET_ENTROPY, MAX_EPOCHS = 0.98, 4.0
@@ -59,7 +59,7 @@ def fit_power(tokens: np.ndarray, budget: float, target_entropy: float = TARGET_
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         offsets, _, _ = split_words(batch.column(batch.num_columns - 1))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(offsets), pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 

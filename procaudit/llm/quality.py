@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procaudit.llm.tokens import BYTE_CLASS, CAPITAL, DIGIT, counted, mixed, shape_hashes, split_words, sums, word_bytes
+from procaudit.llm.tokens import BYTE_CLASS, CAPITAL, DIGIT, counted, mixed, pieces, shape_hashes, split_words, sums, word_bytes
 
 #: Documented bound of the sample that the linear scorer is fitted on, chosen by hash of id and text.
 SCORER_DOCUMENTS = 20_000
@@ -106,7 +106,7 @@ def votes(statistics: np.ndarray, n_words: np.ndarray) -> np.ndarray:
 
 def _vote_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     power = 3 ** np.arange(len(LABELLERS))
-    for batch in batches:
+    for batch in pieces(batches):
         statistics, offsets, _, _ = examine(batch.column(0))
         kinds, counts = np.unique(votes(statistics, np.diff(offsets)) @ power, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(counts, pa.int64())], names=["pattern", "n"])
@@ -154,7 +154,7 @@ def posterior(seen: np.ndarray, rates: np.ndarray, priors: np.ndarray) -> np.nda
 
 def _sample_rows(rates: np.ndarray, priors: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             statistics, offsets, first, second = examine(batch.column(0))
             n_words = np.diff(offsets)
             p = posterior(votes(statistics, n_words), rates, priors)
@@ -171,7 +171,7 @@ def _sample_rows(rates: np.ndarray, priors: np.ndarray):
 
 def _scorer(weights: np.ndarray, intercept: float, rates: np.ndarray, priors: np.ndarray):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             statistics, offsets, first, second = examine(batch.column(batch.num_columns - 1))
             n_words = np.diff(offsets)
             linear = sums(weights[first] + weights[second], offsets) / np.maximum(n_words, 1) + intercept

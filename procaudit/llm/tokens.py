@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,6 +32,21 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return offsets, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+#: Batches of texts are worked on in pieces of about so many bytes, so a worker's arrays stay small.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: int = -1) -> Iterator[pa.RecordBatch]:
+    """The batches cut to pieces of about ``PIECE_BYTES`` of the text column; a longer text is a piece of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text % batch.num_columns)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // PIECE_BYTES
+        edges = np.concatenate([[0], 1 + np.flatnonzero(np.diff(part)), [batch.num_rows]])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 

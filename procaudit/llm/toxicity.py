@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procaudit.llm.common import crc_bucket
-from procaudit.llm.tokens import BYTE_CLASS, CAPITAL, DIGIT, OTHER, SIGN, SMALL, counted, split_words, sums, word_bytes
+from procaudit.llm.tokens import BYTE_CLASS, CAPITAL, DIGIT, OTHER, SIGN, SMALL, counted, pieces, split_words, sums, word_bytes
 
 #: Documented bounds of the labelled samples that the lexicon and the trees are fitted on, chosen by hash of the id.
 LEXICON_DOCUMENTS, TREE_DOCUMENTS = 12_000, 30_000
@@ -45,7 +45,7 @@ def units_of(word: str) -> tuple[str, ...]:
 
 def _lexicon_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(unit, toxic, clean): documents of a batch that hold each unit."""
-    for batch in batches:
+    for batch in pieces(batches, 0):
         offsets, codes, words = split_words(batch.column(0))
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         index: dict[str, int] = {}
@@ -130,7 +130,7 @@ def features(texts: pa.Array, lexicon: dict[str, int]) -> np.ndarray:
 
 def _extractor(lexicon: dict[str, int]):
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = features(batch.column(batch.num_columns - 1), lexicon)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * N_FEATURES, pa.int32()), pa.array(rows.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "f"])
