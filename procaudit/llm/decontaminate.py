@@ -45,6 +45,14 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, window: int
     return starts.select("item", "n", F.slice("w", F.col("i"), F.col("n")).alias("words")).select("item", "n", F.array_join("words", " ").alias("gram"), "words").distinct()
 
 
+def whole_items(n: int, hashes: list[int] | None) -> Column:
+    """Places of ``n`` words whose hash is among ``hashes``, or all places, as (s, n)."""
+    at = F.sequence(F.lit(0), F.size("w") - n)
+    if hashes is not None:
+        at = F.filter(at, lambda s: F.xxhash64(F.slice("w", s + 1, n)).isin(hashes))
+    return F.when(F.size("w") >= n, F.transform(at, lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"))))
+
+
 def candidate_windows(docs: DataFrame, windows: DataFrame, doc_id: str, text: str, window: int, k: int, max_set: int) -> DataFrame:
     """(rid, id, key, n_words, s, n, gram): the places of each document that may hold a benchmark window, at least
     one row a document. A superset of the hits: equal text decides later."""
@@ -69,14 +77,12 @@ def candidate_windows(docs: DataFrame, windows: DataFrame, doc_id: str, text: st
     reach = F.flatten(F.transform(anchors, lambda p: F.sequence(F.greatest(p - (window - k), F.lit(0)), F.least(p, last))))
     spots = [F.when((F.size("m") > 0) & (last >= 0), F.transform(F.array_distinct(reach), lambda s: F.struct(s.alias("s"), F.lit(window).alias("n"))))]
     for n in lengths:
-        at = F.sequence(F.lit(0), F.size("w") - n)
-        if sets_fit:
-            hashes = [r["h"] for r in shorts.where(F.col("n") == n).collect()]
-            at = F.filter(at, lambda s, n=n, hashes=hashes: F.xxhash64(F.slice("w", s + 1, n)).isin(hashes))
-        spots.append(F.when(F.size("w") >= n, F.transform(at, lambda s, n=n: F.struct(s.alias("s"), F.lit(n).alias("n")))))
+        spots.append(whole_items(n, [r["h"] for r in shorts.where(F.col("n") == n).collect()] if sets_fit else None))
     none = F.array().cast("array<struct<s:int,n:int>>")
     tried = rows.select("rid", "id", "key", F.size("w").alias("n_words"), "w", F.explode_outer(F.concat(*[F.coalesce(x, none) for x in spots])).alias("x"))
-    return tried.select("rid", "id", "key", "n_words", "x.s", "x.n", F.array_join(F.slice("w", F.col("x.s") + 1, F.col("x.n")), " ").alias("gram"))
+    # rows without a candidate get numbers of their own, so that the join that follows does not gather them
+    own = (-1 - F.pmod(F.col("rid"), F.lit(1_000_000_007))).cast("int")
+    return tried.select("rid", "id", "key", "n_words", "x.s", F.coalesce(F.col("x.n"), own).alias("n"), F.array_join(F.slice("w", F.col("x.s") + 1, F.col("x.n")), " ").alias("gram"))
 
 
 def covered(spans: Column) -> Column:
