@@ -4,8 +4,8 @@ Texts that are equal byte for byte share one vertex. A vertex's set of word n-gr
 that all documents share, cut into ``FRAGMENTS`` fragments; a segment is what a set has in a fragment. Candidates
 are vertices with a common n-gram among the rarest of both (counted over the whole corpus): any linked pair has
 one. Segment lengths bound a pair's overlap from above; where that reaches the threshold, the overlaps are counted
-fragment by fragment and summed. Links are found in two rounds: each vertex with its most promising partner of each
-candidate list, then only pairs whose ends the first round has not already joined.
+fragment by fragment and summed. Links are found in two rounds: each vertex with its most promising and its
+smallest partner, then only pairs whose ends the first round has not already joined.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def least_overlap(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 def _pairs(percent: int, first_round: bool):
     """Candidate lists, sorted by (token, cell), to the pairs that segment lengths leave."""
 
-    def judge(cols: dict[str, np.ndarray], sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def judge(cols: dict[str, np.ndarray], sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for size in np.unique(sizes[sizes > 1]):
             mine = starts[sizes == size]
             i, j = np.triu_indices(size, 1)
@@ -145,12 +145,17 @@ def _pairs(percent: int, first_round: bool):
         need = least_overlap(cols["n"][left], cols["n"][right], percent)
         keep = bound >= need
         left, right, group, slack = left[keep], right[keep], group[keep], (bound / np.maximum(need, 1))[keep]
-        if first_round and len(left):  # the most promising partner of each vertex
-            order = np.lexsort((left, -slack, right, group))
-            new = np.ones(len(order), bool)
-            new[1:] = (right[order][1:] != right[order][:-1]) | (group[order][1:] != group[order][:-1])
-            left, right = left[order[new]], right[order[new]]
-        return cols["doc"][left], cols["doc"][right]
+        a, b = np.minimum(cols["doc"][left], cols["doc"][right]), np.maximum(cols["doc"][left], cols["doc"][right])
+        if first_round and len(a):  # of each vertex the most promising smaller partner and the smallest
+            picked = []
+            for by in (-slack, a):
+                order = np.lexsort((a, by, b, group))
+                new = np.ones(len(order), bool)
+                new[1:] = (b[order][1:] != b[order][:-1]) | (group[order][1:] != group[order][:-1])
+                picked.append(order[new])
+            chosen = np.unique(np.concatenate(picked))
+            a, b, slack = a[chosen], b[chosen], slack[chosen]
+        return a, b, slack
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -160,10 +165,11 @@ def _pairs(percent: int, first_round: bool):
             cols["segments"] = np.frombuffer(b"".join(table["segments"].to_pylist()), np.uint32).reshape(-1, FRAGMENTS)
             new = np.flatnonzero(np.concatenate([[True], (np.diff(cols["token"]) != 0) | (np.diff(cols["ci"]) != 0) | (np.diff(cols["cj"]) != 0)]))
             sizes = np.diff(np.append(new, table.num_rows))
-            for x, y in judge(cols, sizes, new):
+            for x, y, slack in judge(cols, sizes, new):
                 if len(x):
-                    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+                    order = np.lexsort((y, x))
+                    one = order[np.append(True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x[one]), pa.array(y[one]), pa.array(slack[one], pa.float64())], names=["a", "b", "slack"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -232,13 +238,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def linked(labels: DataFrame | None) -> DataFrame:
         known = cells.withColumn("label", F.col("doc")) if labels is None else cells.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         known = known.select("token", "ci", "cj", "part", "doc", "n", "label", "segments").repartition("token", "ci", "cj").sortWithinPartitions("token", "ci", "cj")
-        pairs = known.mapInArrow(_pairs(percent, labels is None), "a long, b long").distinct()
+        pairs = known.mapInArrow(_pairs(percent, labels is None), "a long, b long, slack double")
+        if labels is None:  # a vertex's best and smallest partner over all its lists
+            best = pairs.groupBy("b").agg(F.max_by("a", F.struct("slack", -F.col("a"))).alias("best"), F.min("a").alias("least"))
+            pairs = best.select("b", F.explode(F.array_distinct(F.array("best", "least"))).alias("a"))
+        pairs = pairs.select("a", "b").distinct()
         left, right = base.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), base.select(F.col("doc").alias("b"), F.col("grams").alias("gb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(_verify(percent), "a long, b long")
 
-    first = saved(linked(None), "ngram-links")
-    rest = linked(components(first))
-    labels = components(first.union(rest))
+    near = components(linked(None))
+    # what is left links the first round's groups
+    rest = linked(near).join(near.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    far = saved(components(rest.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))), "ngram-groups")
+    moved = far.select(F.col("node").alias("label"), F.col("label").alias("far"))
+    labels = near.join(moved, "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+    labels = labels.unionByName(far.join(near, "node", "left_anti"))
     owned = keyed.select("doc", "k1", "k2").join(base.select("k1", "k2", F.col("doc").alias("rep"), "n"), ["k1", "k2"])
     placed = owned.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return placed.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("label", "rep"))).alias("component_id"))

@@ -155,10 +155,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     count = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n, toxic = count["n"], count["t"]
     held = (bucket == 0).alias("held_out")
-    if not 0 < toxic < n:
+
+    def constant() -> DataFrame:
         base = F.lit(toxic / n if n else 0.0)
         return rows.select(F.col("_id").alias(doc_id), held, base.alias("score"), (base >= 0.5).cast("int").alias("predicted"))
 
+    if not 0 < toxic < n:
+        return constant()
+
     def sampled(df: DataFrame, bound: int) -> DataFrame:
         return df if n <= bound else df.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1e6 * bound / n))
 
@@ -166,6 +170,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     lexicon = learn_lexicon(sampled(learned.where(bucket != 4), lexicon_documents).select("_text", "toxic"))
     extract = _extractor(lexicon)
     vectors = learned.select("_id", "toxic", "_text").mapInArrow(extract, "_id long, toxic int, f array<double>").select("_id", F.col("toxic").cast("double").alias("toxic"), array_to_vector("f").alias("features")).persist()
+    if len(vectors.where(bucket != 4).select("toxic").distinct().collect()) < 2:  # at most two rows
+        return constant()
     model = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.2, maxBins=64, seed=7).fit(vectors.where(bucket != 4))
     raw = vector_to_array("probability")[1]
     bins = model.transform(vectors.where(bucket == 4)).select(F.round(raw * CALIBRATION_BINS).alias("b"), "toxic").groupBy("b").agg(F.avg("toxic").alias("label"), F.count("*").cast("double").alias("weight"))
