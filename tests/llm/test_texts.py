@@ -196,6 +196,49 @@ def test_remove_repeats(spark, docs, monkeypatch):
     assert sorted(sum(s["length"] for s in r["spans"]) for r in twice) == [0, 368, 370]  # of the first row all but the first of its runs' strings
 
 
+def first_strings(docs):
+    """Bytes to remove of each document, by every 100-byte string of the documents before and of its own start."""
+    seen, out = set(), {}
+    for d, t in sorted(docs):
+        b = t.encode()
+        hit = np.zeros(len(b), bool)
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                hit[i : i + 100] = True
+            seen.add(b[i : i + 100])
+        out[d] = np.frombuffer(b, np.uint8)[~hit].tobytes()
+    return out
+
+
+def test_long_text_between_short_ones(spark, monkeypatch):
+    from procaudit.llm import repeats
+
+    monkeypatch.setattr(repeats, "BLOCK", 1000)
+    monkeypatch.setattr(repeats, "LONG", 8000, raising=False)
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, edge = some(300), some(60)
+    long = some(4000) + passage + some(7000) + passage[:150] + some(500)
+    docs = [(1, some(200) + edge), (2, some(240)), (3, edge + long), (4, some(90) + passage), (5, edge + long[:60] + some(80)), (6, some(300)), (7, long[3900:9000])]
+    texts = repeats.Texts(pa_messages(docs))
+    assert all(b == a + 1 or sum(texts.lengths[a:b]) <= 1000 for a, b in texts._blocks())
+    ends = texts.starts + texts.lengths
+    assert (texts.first >= texts.starts[texts.owner]).all() and (texts.last + 100 <= ends[texts.owner]).all()
+    got = repeats.remove_repeats(frame(spark, docs)).collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in got} == first_strings(docs)
+
+
+def pa_messages(docs):
+    """A chunk of ``docs`` as the operator packs it."""
+    import pyarrow as pa
+
+    batch = pa.record_batch({"doc": [d for d, _ in docs], "id": [d for d, _ in docs], "tie": [0] * len(docs), "text": [t for _, t in docs]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return pa.array([sink.getvalue().to_pybytes()], pa.binary())
+
+
 def test_long_text_in_parts():
     from procaudit.llm import repeats
 
