@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StringIndexer
 from pyspark.sql import DataFrame, Window
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from procaudit.functions.text import char_ngrams, observation_note
 from procaudit.functions.values import time_summary
-from procaudit.operators.evaluation import min_labels_topup
+from procaudit.operators.evaluation import METRICS, THRESHOLDS, actual_vs_predicted, min_labels_topup, multilabel_metrics, select_best, threshold_sweep
 from procaudit.operators.history import code_default_lookup
+from procaudit.operators.tfidf import gram_counts, tfidf_transform
 
 
 def _fit_code(c: float, rounds: int):
@@ -59,6 +61,162 @@ def multilabel_scores(vectors: DataFrame, ids: DataFrame, model: DataFrame) -> D
     return full.select("id", "codigo", (1 / (1 + F.exp(-(F.coalesce("z", F.lit(0.0)) + F.col("bias"))))).alias("prob"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+#: Codes that one task fits together, and distinct texts up to which it works on their products with each other.
+CODE_BLOCK, DENSE_TEXTS = 64, 4096
+
+
+class _Rows:
+    """Sparse rows with a constant 1 behind each, and their products with dense matrices."""
+
+    def __init__(self, idx: list, weights: list, width: int):
+        sizes = np.array([len(i) for i in idx], np.int64)
+        self.n, self.width = len(sizes), width + 1
+        row = np.append(np.repeat(np.arange(self.n), sizes), np.arange(self.n))
+        col = np.concatenate([*(np.asarray(i, np.int64) for i in idx), np.full(self.n, width)])
+        x = np.concatenate([*(np.asarray(w, np.float64) for w in weights), np.ones(self.n)])
+        by_row, by_col = np.argsort(row, kind="stable"), np.argsort(col, kind="stable")
+        self.forward = (row[by_row], col[by_row], x[by_row])
+        self.backward = (col[by_col], row[by_col], x[by_col])
+
+    @staticmethod
+    def _product(entries: tuple, m: np.ndarray, n: int) -> np.ndarray:
+        to, at, x = entries
+        out = np.zeros((n, m.shape[1]))
+        for a in range(0, len(to), 1 << 16):  # the entries in pieces, whose products stay small
+            t = to[a : a + (1 << 16)]
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            out[t[first]] += np.add.reduceat(m[at[a : a + (1 << 16)]] * x[a : a + (1 << 16), None], first, axis=0)
+        return out
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        return self._product(self.forward, m, self.n)
+
+    def transposed(self, m: np.ndarray) -> np.ndarray:
+        return self._product(self.backward, m, self.width)
+
+
+def fit_columns(rows: _Rows, copies: np.ndarray, positives: np.ndarray, c: np.ndarray, tol: float = 1e-5, rounds: int = 20_000) -> np.ndarray:
+    """Coefficients (grams and intercept by columns) of balanced L2 logistic models, each to its minimum, by
+    accelerated gradient steps with restarts. ``positives`` (texts by columns) counts a text's ``copies`` of label 1,
+    ``c`` is each column's C. Of few texts the steps run on the combination of texts that the coefficients are."""
+    dense = rows.n <= DENSE_TEXTS
+    n, pos = copies.sum(), positives.sum(axis=0)
+    negatives = copies[:, None] - positives
+    up, down = positives * (1 / (2 * pos)), negatives * (1 / (2 * (n - pos)))
+    penalty = 1 / (c * n)
+    step = 1 / (0.5 + penalty)
+    gram = None
+    if dense:
+        eye = np.eye(rows.n)
+        gram = np.concatenate([rows.times(rows.transposed(eye[:, a : a + 256])) for a in range(0, rows.n, 256)], axis=1)
+    at = np.zeros((rows.n if dense else rows.width, len(c)))
+    done, live = at.copy(), np.arange(len(c))
+    z = np.zeros((rows.n, len(c)))
+    ahead, z_ahead, age, start = at, z, np.ones(len(c)), None
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-z_ahead))
+        g = down * p - up * (1 - p)
+        slope = (g if dense else rows.transposed(g)) + penalty * ahead
+        new = ahead - step * slope
+        z_new = gram @ new if dense else rows.times(new)
+        size = np.sqrt(np.maximum((slope * (z_ahead - z_new) / step if dense else slope * slope).sum(axis=0), 0))
+        start = size if start is None else start
+        rising = (slope * ((z_new - z) if dense else (new - at))).sum(axis=0) > 0
+        following = np.where(rising, 1.0, (1 + np.sqrt(1 + 4 * age * age)) / 2)
+        push = np.where(rising, 0.0, (age - 1) / following)
+        ahead, z_ahead = new + push * (new - at), z_new + push * (z_new - z)
+        at, z, age = new, z_new, following
+        left = size > tol * start
+        if not left.all():
+            done[:, live[~left]] = at[:, ~left]
+            live, at, z, ahead, z_ahead, age, start, up, down, penalty, step = live[left], at[:, left], z[:, left], ahead[:, left], z_ahead[:, left], age[left], start[left], up[:, left], down[:, left], penalty[left], step[left]
+            if not len(live):
+                break
+    done[:, live] = at
+    return rows.transposed(done) if dense else done
+
+
+def _grid_block(cs: tuple[float, ...], least: float, top: int, width: int):
+    def block(texts: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        names = ["c", "text_id", "codigo", "prob"]
+        train, held = texts[texts["copies"] > 0].sort_values("text_id"), texts[texts["held"]]
+        codes = np.sort(labels["codigo"].unique())
+        if not len(codes) or held.empty:
+            return pd.DataFrame({n: [] for n in names}).astype({"c": float, "text_id": "int64", "codigo": str, "prob": float})
+        copies, positives = train["copies"].to_numpy(np.float64), np.zeros((len(train), len(codes)))
+        known = labels[labels["label_copies"] > 0]
+        np.add.at(positives, (np.searchsorted(train["text_id"].to_numpy(), known["label_of"].to_numpy()), np.searchsorted(codes, known["codigo"].to_numpy())), known["label_copies"].to_numpy(np.float64))
+        pos = positives.sum(axis=0)
+        fitted = np.flatnonzero((pos > 0) & (pos < copies.sum()))
+        test = _Rows(held["idx"].tolist(), held["weights"].tolist(), width)
+        z = np.repeat(np.where(pos > 0, 50.0, -50.0)[None, :, None], len(held), axis=0).repeat(len(cs), axis=2)
+        if len(fitted):
+            rows = _Rows(train["idx"].tolist(), train["weights"].tolist(), width)
+            w = fit_columns(rows, copies, np.repeat(positives[:, fitted], len(cs), axis=1), np.tile(cs, len(fitted)))
+            z[:, fitted] = test.times(w).reshape(len(held), len(fitted), len(cs))
+        prob = 1 / (1 + np.exp(-z))
+        best = np.argsort(-prob, axis=1, kind="stable")[:, :top]
+        use = prob >= least
+        np.put_along_axis(use, best, True, axis=1)
+        t, k, c = np.nonzero(use)
+        return pd.DataFrame({"c": np.array(cs)[c], "text_id": held["text_id"].to_numpy()[t], "codigo": codes[k], "prob": prob[t, k, c]})
+
+    return block
+
+
+def multilabel_grid(rows: DataFrame, cs: tuple[float, ...] = (0.5, 1.0, 2.0), thresholds: tuple[float, ...] = THRESHOLDS, min_labels: int = 1, metric: str = "avg_dice", min_df: int = 2, max_features: int = 250_000) -> DataFrame:
+    """(part, c, threshold, selected, the 11 figures): every C and threshold on the validation rows, and the best of
+    them on the test rows. ``rows`` (id, text, codigos, part) with distinct ids.
+
+    Every code of the rows gets a model for each C, fitted on all training rows; equal texts are one row with a
+    count, which changes no figure. A task fits CODE_BLOCK codes and holds the distinct texts' vectors. Probabilities
+    under the least threshold go unless they may be a row's ``min_labels`` best. Of equal figures the first in order
+    wins, and another C only by a larger ``metric``."""
+    spark = rows.sparkSession
+    texts = _kept(rows.groupBy("text").agg(F.count_if(F.col("part") == "train").alias("copies"), (F.count_if(F.col("part") != "train") > 0).alias("held")).withColumn("text_id", F.xxhash64("text")))
+    named = _kept(rows.join(texts.select("text", "text_id"), "text").select("id", "part", "text_id", "codigos"))
+    train = named.where("part = 'train'")
+    counts = gram_counts(texts, "text_id")
+    seen = counts.join(texts.where("copies > 0").select("text_id", "copies"), "text_id")
+    grams = seen.groupBy("gram").agg(F.sum("copies").alias("df"), F.sum(F.col("n") * F.col("copies")).alias("total")).where(F.col("df") >= min_df).orderBy(F.desc("total"), "gram").limit(max_features)
+    numbered = _kept(grams.withColumn("idf", F.log((1.0 + train.count()) / (1.0 + F.col("df"))) + 1.0).withColumn("idx", F.row_number().over(Window.orderBy("gram")) - 1))
+    vectors = tfidf_transform(counts, numbered, "text_id").join(F.broadcast(numbered.select("gram", "idx")), "gram")
+    packed = vectors.groupBy("text_id").agg(F.collect_list("idx").alias("idx"), F.collect_list("weight").alias("weights"))
+    none = lambda t: F.array().cast(f"array<{t}>")
+    packed = texts.select("text_id", "copies", "held").join(packed, "text_id", "left").withColumns({"idx": F.coalesce("idx", none("int")), "weights": F.coalesce("weights", none("double"))})
+    labels = named.select(F.col("text_id").alias("label_of"), (F.col("part") == "train").cast("long").alias("t"), F.explode(F.array_distinct("codigos")).alias("codigo")).groupBy("label_of", "codigo").agg(F.sum("t").alias("label_copies"))
+    codes = named.select(F.explode("codigos").alias("codigo")).distinct()
+    blocks = -(-codes.count() // CODE_BLOCK)
+    left = packed.crossJoin(F.broadcast(spark.range(blocks).withColumnRenamed("id", "block"))).repartition(blocks, "block") if blocks else packed.withColumn("block", F.lit(0).cast("long"))
+    right = labels.withColumn("label_block", F.pmod(F.xxhash64("codigo"), F.lit(max(blocks, 1)).cast("long")))
+    found = left.groupBy("block").cogroup(right.groupBy("label_block")).applyInPandas(_grid_block(cs, min(thresholds), min_labels, numbered.count()), "c double, text_id long, codigo string, prob double")
+    scores = _kept(found)
+    actual = named.select("id", "part", F.explode("codigos").alias("codigo"))
+    of_part = lambda name, c: scores.where(F.col("c") == c).join(named.where(F.col("part") == name).select("id", "text_id"), "text_id").select("id", "codigo", "prob")
+    grid, best = [], None
+    for c in cs:
+        swept = threshold_sweep(of_part("validation", c), actual.where("part = 'validation'"), thresholds, min_labels).withColumn("c", F.lit(c))
+        swept = _kept(swept)
+        mine = select_best(swept, metric, "threshold").first()
+        if mine and (best is None or mine[metric] > best[metric]):
+            best = mine
+        grid.append(swept.withColumn("part", F.lit("validation")))
+    out = grid[0]
+    for g in grid[1:]:
+        out = out.unionByName(g)
+    if best is None:
+        return out.withColumn("selected", F.lit(False)).select("part", "c", "threshold", "selected", *METRICS)
+    chosen = min_labels_topup(of_part("test", best["c"]), F.lit(best["threshold"]), min_labels).where("selected")
+    test = multilabel_metrics(actual_vs_predicted(actual.where("part = 'test'"), chosen), named.where("part = 'test'").select("id"))
+    test = test.withColumns({"part": F.lit("test"), "c": F.lit(best["c"]), "threshold": F.lit(best["threshold"])})
+    picked = (F.col("c") == best["c"]) & (F.col("threshold") == best["threshold"])
+    return out.unionByName(test).withColumn("selected", picked).select("part", "c", "threshold", "selected", *METRICS)
+
+
 def multilabel_predict(scores: DataFrame, threshold: float = 0.5, min_labels: int = 1) -> DataFrame:
     """(id, codigo, score) of the selected codes, scores to 4 places."""
     return min_labels_topup(scores, F.lit(threshold), min_labels).where("selected").select("id", "codigo", F.round("prob", 4).alias("score"))

@@ -17,6 +17,7 @@ from procaudit.plans.evaluation import at, metrics_sql, scores, truth
 from procaudit.plans.evaluation import SPLIT, SWEEP
 from procaudit.plans.registry import query
 from procaudit.plans.relational import ACTIVE, ASSEMBLED, FEES, JOINED, KEPT, PROCS, TIMES, TRAIN, _majority, assembled
+from procaudit.plans.shared import text_label_pairs
 from procaudit.sources.fixtures import table
 from procaudit.sources.tables import TEMPLATES
 
@@ -231,14 +232,9 @@ def compare_systems(spark, sf_dir):
 
 @query()
 def multilabel_fit(spark, sf_dir):
-    """One model for each of the ten most frequent codes of the templates, and its fit on them."""
-    texts, _, vectors = indexed(spark, sf_dir)
-    labelled = texts.select("id", F.explode("codigos").alias("codigo"))
-    codes = labelled.groupBy("codigo").count().orderBy(F.desc("count"), "codigo").limit(10)
-    model = L.multilabel_fit(vectors, labelled, codes, c=10.0)
-    chosen = L.multilabel_scores(vectors, texts, model).where("prob >= 0.5").select("id", "codigo")
-    actual = labelled.join(codes, "codigo", "left_semi").select("id", "codigo")
-    return E.multilabel_metrics(E.actual_vs_predicted(actual, chosen), texts.select("id"))
+    """A model for every code of the visits and each C of the grid, on the training part of the history's texts."""
+    pairs = text_label_pairs(spark, sf_dir).select(F.concat_ws(":", "id_agenda", "codigo_grupo_auditor").alias("id"), F.col("texto").alias("text"), "codigos")
+    return L.multilabel_grid(E.split_rows(pairs, F.col("id")).select("id", "text", "codigos", "part"))
 
 
 @query()

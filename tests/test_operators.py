@@ -91,6 +91,39 @@ def test_fitted_codes_separate(spark):
     assert all((r["prob"] >= 0.5) == (r["codigo"] == "all" or r["codigo"] == "odd" and r["id"] % 2 == 1) for r in scored)
 
 
+def test_columns_reach_their_minimum(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    idx = [sorted(rng.choice(12, 4, replace=False).tolist()) for _ in range(30)]
+    weights = [(w / np.linalg.norm(w)).tolist() for w in rng.random((30, 4))]
+    copies = rng.integers(1, 4, 30).astype(float)
+    positives = np.stack([np.minimum(copies, rng.integers(0, 3, 30) * (rng.random(30) < share)) for share in (0.2, 0.5, 0.9)], axis=1)
+    c = np.array([0.5, 1.0, 2.0])
+    dense = L.fit_columns(L._Rows(idx, weights, 12), copies, positives, c)
+    monkeypatch.setattr(L, "DENSE_TEXTS", 0)
+    assert np.allclose(L.fit_columns(L._Rows(idx, weights, 12), copies, positives, c), dense, atol=1e-3)
+    x = np.zeros((30, 13))
+    for i in range(30):
+        x[i, idx[i]], x[i, 12] = weights[i], 1
+    for k in range(3):  # the slope of sum of losses + w w / (2 C), which is 0 at the minimum
+        p, n, pos = 1 / (1 + np.exp(-x @ dense[:, k])), copies.sum(), positives[:, k].sum()
+        g = (copies - positives[:, k]) * p * n / (2 * (n - pos)) - positives[:, k] * (1 - p) * n / (2 * pos)
+        assert np.abs(x.T @ g + dense[:, k] / c[k]).max() < 1e-2
+
+
+def test_grid_fits_every_code(spark):
+    """Fifteen codes, each told by a word: none is without a model, and the figures are those of the held rows."""
+    rows = [(f"{i}:{r}", f"word{'abcdefghijklmno'[i] * 4}", [f"c{i}"] + ["all"] * (i < 14), "test" if r == 0 else "validation" if r == 1 else "train") for i in range(15) for r in range(6)]
+    rows.append(("x", "wordaaaa", ["never"], "validation"))  # a code without training rows
+    out = L.multilabel_grid(spark.createDataFrame(rows, "id string, text string, codigos array<string>, part string")).collect()
+    assert sorted((r["part"], r["c"], r["threshold"]) for r in out if r["part"] == "validation") == [("validation", c, t) for c in (0.5, 1.0, 2.0) for t in (0.2, 0.3, 0.4, 0.5)]
+    test = [r for r in out if r["part"] == "test"]
+    assert len(test) == 1 and test[0]["recall_micro"] == 1.0 and test[0]["avg_actual_codes"] == round(29 / 15, 4)
+    assert sum(r["selected"] for r in out) == 2
+    assert max(r["avg_dice"] for r in out if r["part"] == "validation") == next(r["avg_dice"] for r in out if r["part"] == "validation" and r["selected"])
+
+
 def test_plans_have_no_cross_products(spark):
     """Products are made only with a grid, a list of labels or one row, all broadcast."""
     from procaudit import catalog
