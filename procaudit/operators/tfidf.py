@@ -37,14 +37,23 @@ def cosine_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return q.join(vectors, "gram").groupBy("q_id", "id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
 
 
+#: Rows of a block: a task holds one block of queries and one of train rows.
+BLOCK_ROWS = 4096
+#: Queries whose scores against a train block are held at once.
+QUERY_ROWS = 512
+
+
 def _blocks(df: DataFrame, key: str, value: str, blocks: int, name: str) -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks))).select(name, F.col(key).alias("id"), value)
 
 
-def _nearest(queries: DataFrame, train: DataFrame, value: str, score, blocks: int) -> DataFrame:
-    """Block against block: each query block meets each train block once, and the blocks' best are merged."""
-    q = _blocks(queries, "id", value, blocks, "qb").withColumn("tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    t = _blocks(train, "id", value, blocks, "tb").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+def _nearest(queries: DataFrame, train: DataFrame, value: str, score, blocks: int | None) -> DataFrame:
+    """Block against block: each query block meets each train block once, and the blocks' best are merged. Without
+    ``blocks``, each side has as many as hold about BLOCK_ROWS rows."""
+    qs, ts = (blocks or -(-df.count() // BLOCK_ROWS) or 1 for df in (queries, train))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = _blocks(queries, "id", value, qs, "qb").withColumn("tb", every(ts))
+    t = _blocks(train, "id", value, ts, "tb").withColumn("qb", every(qs))
     best = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(score, "q_id long, id long, score double")
     return best.groupBy("q_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.max("score").alias("score"))
 
@@ -55,9 +64,11 @@ def _dense_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     right = right.sort_values("id")
     q, t = (np.stack(df["v"].to_numpy()).astype(np.float64) for df in (left, right))
     q, t = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (q, t))
-    s = np.round(q @ t.T, 12)
-    at = s.argmax(axis=1)
-    return pd.DataFrame({"q_id": left["id"].to_numpy(), "id": right["id"].to_numpy()[at], "score": s[np.arange(len(s)), at]})
+    at, top = np.zeros(len(q), np.int64), np.zeros(len(q))
+    for a in range(0, len(q), QUERY_ROWS):
+        s = np.round(q[a : a + QUERY_ROWS] @ t.T, 12)
+        at[a : a + QUERY_ROWS], top[a : a + QUERY_ROWS] = s.argmax(axis=1), s.max(axis=1)
+    return pd.DataFrame({"q_id": left["id"].to_numpy(), "id": right["id"].to_numpy()[at], "score": top})
 
 
 def _sparse_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -81,13 +92,13 @@ def _sparse_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["q_id", "id", "score"])
 
 
-def nn_embeddings(queries: DataFrame, train: DataFrame, blocks: int = 4) -> DataFrame:
+def nn_embeddings(queries: DataFrame, train: DataFrame, blocks: int | None = None) -> DataFrame:
     """(q_id, id, score): the train row of largest cosine for each query, of equal ones the smallest id. Both have
     (id, v) with vectors of one width."""
     return _nearest(queries, train, "v", _dense_best, blocks)
 
 
-def nn_tfidf(queries: DataFrame, train: DataFrame, ids: DataFrame, train_ids: DataFrame, blocks: int = 4) -> DataFrame:
+def nn_tfidf(queries: DataFrame, train: DataFrame, ids: DataFrame, train_ids: DataFrame, blocks: int | None = None) -> DataFrame:
     """The same on tidy (id, gram, weight) vectors; texts without a known gram have score 0."""
 
     def packed(vectors: DataFrame, every: DataFrame) -> DataFrame:

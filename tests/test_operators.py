@@ -83,6 +83,28 @@ def test_block_search_equals_brute_force(spark):
     assert got == {q: 10 + int((u[10:] @ u[q]).argmax()) for q in range(10)}
 
 
+def test_blocks_grow_with_the_rows(spark, monkeypatch):
+    """No task gets more than about BLOCK_ROWS rows of either side, and the neighbours are those of brute force."""
+    import numpy as np
+
+    monkeypatch.setattr(I, "BLOCK_ROWS", 40, raising=False)
+    monkeypatch.setattr(I, "QUERY_ROWS", 7, raising=False)
+    inner, sizes = I._dense_best, spark.sparkContext.accumulator(0)
+
+    def noted(left, right):
+        sizes.add(max(len(left), len(right)) > 80)
+        return inner(left, right)
+
+    monkeypatch.setattr(I, "_dense_best", noted)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(900, 5)).astype("float32")
+    rows = spark.createDataFrame([(i, v[i].tolist()) for i in range(900)], "id long, v array<float>")
+    got = {r["q_id"]: r["id"] for r in I.nn_embeddings(rows.where("id < 100"), rows.where("id >= 100")).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert got == {q: 100 + int((u[100:] @ u[q]).argmax()) for q in range(100)}
+    assert sizes.value == 0
+
+
 def test_fitted_codes_separate(spark):
     vectors = spark.createDataFrame([(i, "x" if i % 2 else "y", 1.0) for i in range(20)], "id long, gram string, weight double")
     labels = spark.createDataFrame([(i, "odd") for i in range(1, 20, 2)] + [(i, "all") for i in range(20)], "id long, codigo string")
