@@ -237,13 +237,24 @@ def multilabel_fit(spark, sf_dir):
     return L.multilabel_grid(E.split_rows(pairs, F.col("id")).select("id", "text", "codigos", "part"))
 
 
+def value_report(rows, value: str):
+    """The model of ``value`` fitted on the training part of the visits, and its report on the test part."""
+    rows = rows.select("id_agenda", value, T.code_text(T.training_text(), F.col("codigo_norm")).alias("text"))
+    parts = E.split_rows_fast(rows, F.col("id_agenda"))
+    predict = L.value_model_fit(parts.where("part = 'train'"), value)
+    return E.class_report(predict(parts.where("part = 'test'")).select(F.col(value).alias("y_true"), "y_pred"))
+
+
 @query()
 def value_model_fit(spark, sf_dir):
-    """The fee model fitted on the training part of visits and its report on the others."""
-    rows = H.fee_training_set(table(spark, sf_dir, "audit_detail")).select("id_agenda", "porcentaje_norm", T.code_text(T.joined(F.col("procedimiento_auditor"), F.col("nombre_procedimiento")), F.col("codigo_norm")).alias("text"))
-    parts = E.split_rows_fast(rows, F.col("id_agenda"))
-    predict = L.value_model_fit(parts.where("part = 'train'"), "porcentaje_norm")
-    return E.class_report(predict(parts.where("part = 'test'")).select(F.col("porcentaje_norm").alias("y_true"), "y_pred"))
+    """The fee model on code, procedures, findings and conclusion."""
+    return value_report(H.fee_training_set(table(spark, sf_dir, "audit_detail")), "porcentaje_norm")
+
+
+@query()
+def time_model_fit(spark, sf_dir):
+    """The same for the hours, of nine classes."""
+    return value_report(H.time_training_set(table(spark, sf_dir, "audit_detail")), "tiempo_norm")
 
 
 def _letters():

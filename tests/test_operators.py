@@ -146,6 +146,17 @@ def test_grid_fits_every_code(spark):
     assert max(r["avg_dice"] for r in out if r["part"] == "validation") == next(r["avg_dice"] for r in out if r["part"] == "validation" and r["selected"])
 
 
+def test_values_are_learned_from_the_findings(spark):
+    """The fee and the hours depend on the finding alone, which the models read."""
+    from procaudit.plans import matching as P
+
+    rows = [(i, "43000", ("50", "100")[i % 2], ("1", "24")[i % 2], "biopsia", "biopsia", ("polipo", "normal")[i % 2], "") for i in range(200)]
+    data = spark.createDataFrame(rows, "id_agenda long, codigo_norm string, porcentaje_norm string, tiempo_norm string, procedimiento_auditor string, nombre_procedimiento string, hallazgo string, conclusion string")
+    for value in ("porcentaje_norm", "tiempo_norm"):
+        assert next(r["f1"] for r in P.value_report(data, value).collect() if r["clase"] == "accuracy") == 1.0
+    assert {"value_model_fit", "time_model_fit"} <= set(P.R.QUERIES)
+
+
 def test_plans_have_no_cross_products(spark):
     """Products are made only with a grid, a list of labels or one row, all broadcast."""
     from procaudit import catalog
