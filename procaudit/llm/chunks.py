@@ -10,10 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES, SHARD_BYTES = 6 << 20, 16 << 20
+#: What a row of a chunk counts beside its text.
+ROW_BYTES = 16
 
 
 def plan_sizes(docs: DataFrame, text: str) -> tuple[int, int]:
@@ -71,5 +75,44 @@ def packed_chunks(rows: DataFrame, chunks: int) -> DataFrame:
     return rows.select("chunk", *[c for c in rows.columns if c != "chunk"]).mapInArrow(_packer(chunks), "chunk long, data binary")
 
 
+def _frame(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _gather(most: int):
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def chunk() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([(part << 20) + count], pa.int64()), pa.array([_frame(pa.Table.from_batches(held))], pa.binary())], names=["chunk", "data"])
+
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES
+            a = 0
+            while a < batch.num_rows:
+                room = np.searchsorted(np.cumsum(lengths[a:]), most - size, "right")
+                b = a + int(room) if held or room else a + 1
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+                    size += int(lengths[a:b].sum())
+                    a = b
+                if a < batch.num_rows or size >= most:
+                    yield chunk()
+                    held, size, count = [], 0, count + 1
+        if held:
+            yield chunk()
+
+    return gather
+
+
+def local_chunks(rows: DataFrame) -> DataFrame:
+    """(chunk, data): all of ``rows``, whose last column is text, as compressed Arrow streams of about ``CHUNK_BYTES``
+    of text each, made where the rows are. Numbers name chunks only once the result is written and read back."""
+    return rows.mapInArrow(_gather(CHUNK_BYTES), "chunk long, data binary")
+
+
 def unpacked(messages: pa.Array) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(m).read_all() for m in messages.to_pylist()]).combine_chunks()
