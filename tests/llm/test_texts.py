@@ -171,6 +171,10 @@ def test_suffix_array_and_prefixes():
             while max(a, b) + same < n and t[a + same] == t[b + same]:
                 same += 1
             assert shared[b] == same
+    for n, k in ((5000, 2), (4000, 5), (3000, 40)):  # buckets in batches, and strings of names below them
+        t = rng.integers(0, k, n)
+        t[n // 2 : n // 2 + 900] = t[:900]
+        assert suffix_array(t, k).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
 
 
 def test_remove_repeats(spark, docs, monkeypatch):
