@@ -1,8 +1,9 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 Of every run of ``WINDOW - K + 1`` consecutive k-gram hashes the least is a fingerprint, so two texts that share
-``WINDOW`` words share one. Documents whose fingerprints meet the benchmark's have the places of those hashes
-extended to whole windows, which are compared as text. Items of fewer words than a window are looked up whole.
+``WINDOW`` words share one. The distinct fingerprints of each document meet the benchmark's in a join; an item of fewer
+words than a window is met by the hash of its longest word instead. Texts with a meeting, each once however many
+documents hold it, have the places of those hashes extended to whole windows and items, which are compared as text.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from procaudit.llm.common import ascii_lower, saved
 
 WINDOW = 10
 K = 5
-#: The benchmark's hashes go to every task as a set while they are at most so many; beyond that they are joined.
-MAX_SET = 100_000
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -23,18 +22,22 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD, -1), lambda w: w != "")
 
 
-def gram_hashes(words: Column, k: int) -> Column:
-    """The hash of the k words from each place on."""
-    n = F.size(words)
-    places = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(words, i, k)))
+def places(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def minima(hashes: Column, span: int) -> Column:
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def gram_hashes(hashes: Column, k: int) -> Column:
+    """From the words' hashes that of the k words from each place on."""
+    return F.transform(places(F.size(hashes) - k + 1), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
+
+
+def minima(grams: Column, span: int) -> Column:
     """The distinct least hashes of each ``span`` consecutive ones."""
-    n = F.size(hashes)
-    places = F.when(n >= span, F.sequence(F.lit(1), n - span + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.array_min(F.slice(hashes, i, span))))
+    return F.array_distinct(F.transform(places(F.size(grams) - span + 1), lambda i: F.least(*[F.get(grams, i + j) for j in range(span)]) if span > 1 else F.get(grams, i)))
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
@@ -45,44 +48,48 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, window: int
     return starts.select("item", "n", F.slice("w", F.col("i"), F.col("n")).alias("words")).select("item", "n", F.array_join("words", " ").alias("gram"), "words").distinct()
 
 
-def whole_items(n: int, hashes: list[int] | None) -> Column:
-    """Places of ``n`` words whose hash is among ``hashes``, or all places, as (s, n)."""
-    at = F.sequence(F.lit(0), F.size("w") - n)
-    if hashes is not None:
-        at = F.filter(at, lambda s: F.xxhash64(F.slice("w", s + 1, n)).isin(hashes))
-    return F.when(F.size("w") >= n, F.transform(at, lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"))))
+TEXT_KEYS = ["k1", "k2"]
+
+
+def text_keys(text: str) -> list[Column]:
+    """Two 64-bit hashes: what is found depends on a row's text alone."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def candidate_windows(docs: DataFrame, windows: DataFrame, doc_id: str, text: str, window: int, k: int, max_set: int) -> DataFrame:
-    """(rid, id, key, n_words, s, n, gram): the places of each document that may hold a benchmark window, at least
-    one row a document. A superset of the hits: equal text decides later."""
+def candidate_windows(docs: DataFrame, windows: DataFrame, text: str, window: int, k: int) -> DataFrame:
+    """(k1, k2, s, n, gram): the places of each distinct text that may hold a benchmark window, a superset of the
+    hits: equal text decides later."""
     span = window - k + 1
-    prints = windows.where(F.col("n") == window).select(F.array_min(gram_hashes(F.col("words"), k)).alias("h")).distinct()
-    shorts = windows.where(F.col("n") < window).select("n", F.xxhash64("words").alias("h")).distinct()
-    sets_fit = prints.limit(max_set + 1).count() + shorts.limit(max_set + 1).count() <= max_set
-    lengths = sorted(r["n"] for r in shorts.select("n").distinct().collect())  # at most window - 1 values
-
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("rid"), words_of(F.col(text)).alias("w"))
-    rows = rows.withColumn("h", gram_hashes(F.col("w"), k))
-    if sets_fit:
-        known = [r["h"] for r in prints.collect()]
-        rows = rows.withColumn("m", F.filter(minima(F.col("h"), span), lambda h: h.isin(known)) if known else F.array().cast("array<bigint>"))
-    else:  # too many for a set in every task: the prints meet by a join, once per print of a document
-        found = rows.select("id", "key", F.explode(minima(F.col("h"), span)).alias("p")).distinct().join(prints.withColumnRenamed("h", "p"), "p")
-        found = found.groupBy("id", "key").agg(F.collect_set("p").alias("m")).select(F.col("id").alias("id2"), F.col("key").alias("key2"), "m")
-        rows = rows.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left").withColumn("m", F.coalesce("m", F.array().cast("array<bigint>")))
+    hashed = word_hashes(F.col("words"))
+    prints = windows.where(F.col("n") == window).select(F.array_min(gram_hashes(hashed, k)).alias("h")).distinct()
+    short = windows.where(F.col("n") < window)
+    longest = F.array_max(F.transform("words", lambda w, i: F.struct(F.length(w).alias("chars"), F.xxhash64(w).alias("h"), i.alias("at"))))
+    short = short.select("n", longest.alias("m")).select("n", F.col("m.h").alias("h"), F.col("m.at").alias("at")).distinct()
+    some_short = not short.isEmpty()
+
+    rows = docs.select(*text_keys(text), F.col(text).alias("body"))
+    split = rows.select(*TEXT_KEYS, word_hashes(words_of(F.col("body"))).alias("hw"))
+    met = split.select(*TEXT_KEYS, F.explode(minima(gram_hashes(F.col("hw"), k), span)).alias("h")).join(prints, "h").select(*TEXT_KEYS, "h", F.lit(window).alias("n"), F.lit(-1).alias("at"))
+    if some_short:
+        words = split.select(*TEXT_KEYS, F.explode(F.array_distinct("hw")).alias("h"))
+        met = met.unionByName(words.join(short, "h").select(*TEXT_KEYS, "h", "n", "at"))
+    met = met.groupBy(*TEXT_KEYS).agg(F.collect_set(F.struct("h", "n", "at")).alias("met"))
+    tried = rows.join(met, TEXT_KEYS).dropDuplicates(TEXT_KEYS).select(*TEXT_KEYS, "met", words_of(F.col("body")).alias("w"))
+    tried = tried.withColumn("hw", word_hashes(F.col("w"))).withColumn("h", gram_hashes(F.col("hw"), k))
 
     last = F.size("w") - window
-    anchors = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.array_contains("m", F.get("h", i)))
+    known = F.transform(F.filter("met", lambda m: m["at"] < 0), lambda m: m["h"])
+    anchors = F.filter(places(F.size("h")), lambda i: F.array_contains(known, F.get("h", i)))
     reach = F.flatten(F.transform(anchors, lambda p: F.sequence(F.greatest(p - (window - k), F.lit(0)), F.least(p, last))))
-    spots = [F.when((F.size("m") > 0) & (last >= 0), F.transform(F.array_distinct(reach), lambda s: F.struct(s.alias("s"), F.lit(window).alias("n"))))]
-    for n in lengths:
-        spots.append(whole_items(n, [r["h"] for r in shorts.where(F.col("n") == n).collect()] if sets_fit else None))
-    none = F.array().cast("array<struct<s:int,n:int>>")
-    tried = rows.select("rid", "id", "key", F.size("w").alias("n_words"), "w", F.explode_outer(F.concat(*[F.coalesce(x, none) for x in spots])).alias("x"))
-    # rows without a candidate get numbers of their own, so that the join that follows does not gather them
-    own = (-1 - F.pmod(F.col("rid"), F.lit(1_000_000_007))).cast("int")
-    return tried.select("rid", "id", "key", "n_words", "x.s", F.coalesce(F.col("x.n"), own).alias("n"), F.array_join(F.slice("w", F.col("x.s") + 1, F.col("x.n")), " ").alias("gram"))
+    spots = F.transform(F.array_distinct(reach), lambda s: F.struct(s.alias("s"), F.lit(window).alias("n")))
+    if some_short:
+        around = lambda m: F.transform(F.filter(places(F.size("hw")), lambda i: F.get("hw", i) == m["h"]), lambda i: F.struct((i - m["at"]).alias("s"), m["n"].alias("n")))
+        items = F.flatten(F.transform(F.filter("met", lambda m: m["at"] >= 0), around))
+        spots = F.concat(F.when(last >= 0, spots).otherwise(F.array().cast("array<struct<s:int,n:int>>")), F.array_distinct(F.filter(items, lambda x: (x["s"] >= 0) & (x["s"] + x["n"] <= F.size("w")))))
+    else:
+        spots = F.when(last >= 0, spots)
+    tried = tried.select(*TEXT_KEYS, "w", F.explode(spots).alias("x"))
+    return tried.select(*TEXT_KEYS, "x.s", "x.n", F.array_join(F.slice("w", F.col("x.s") + 1, F.col("x.n")), " ").alias("gram"))
 
 
 def covered(spans: Column) -> Column:
@@ -96,30 +103,35 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda acc: acc["n"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, max_set: int = MAX_SET) -> DataFrame:
-    """A row per row of ``docs``: its id, ``text_key`` (hash of its text), ``n_words``, ``n_hit`` (words inside any
-    occurrence of a benchmark window), ``n_items``, ``items`` (ids as text, sorted) and ``contaminated``.
-
-    Defined cases: null and empty texts have no words; an item without words matches nothing, one of fewer than
-    ``window`` words is one window; items that share a window all count, and rows of one item id are one item; a
-    null item id counts as the empty id; repeated document rows are judged each for itself; other columns are not
-    read, whatever their names; an empty table gives no rows, an empty benchmark no hits.
-    """
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int, k: int) -> DataFrame:
+    """(k1, k2, spans, items) of each distinct text that holds a benchmark window."""
     windows = saved(benchmark_windows(benchmark, item_id, item_text, window), "benchmark-windows")
-    tried = candidate_windows(docs, windows, doc_id, text, window, k, max_set)
     by_gram = windows.groupBy("n", "gram").agg(F.collect_set("item").alias("held_by"))
-    hits = tried.join(by_gram, ["n", "gram"], "left")
-    span = F.when(F.col("held_by").isNotNull(), F.struct("s", "n"))
-    rows = hits.groupBy("rid", "id", "key", "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("held_by")))).alias("items"))
+    hits = candidate_windows(docs, windows, text, window, k).join(by_gram, ["n", "gram"])
+    return hits.groupBy(*TEXT_KEYS).agg(F.array_sort(F.collect_set(F.struct("s", "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("held_by")))).alias("items"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
+    """A row per row of ``docs``: its id, ``n_words``, ``n_hit`` (words inside any occurrence of a benchmark window),
+    ``n_items``, ``items`` (ids as text, sorted) and ``contaminated``.
+
+    Defined cases: null and empty texts have no words; very long texts are searched whole; an item without words
+    matches nothing, one of fewer than ``window`` words is one window; items that share a window all count, and rows
+    of one item id are one item; a null item id counts as the empty id; repeated document rows are judged each for
+    itself; ties need no rule; other columns are not read, whatever their names; an empty table gives no rows, an empty
+    benchmark no hits.
+    """
+    found = contaminated_texts(docs, benchmark, text, item_id, item_text, window, k)
+    n_words = F.size(words_of(F.col("body")))
+    rows = docs.select(F.col(doc_id).alias("id"), *text_keys(text), F.col(text).alias("body")).select("id", *TEXT_KEYS, n_words.cast("long").alias("n_words")).join(found, TEXT_KEYS, "left")
     return rows.select(
-        F.col("id").alias(doc_id), F.col("key").alias("text_key"), F.col("n_words").cast("long").alias("n_words"),
-        covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size("spans") > 0).alias("contaminated"),
-    )
+        F.col("id").alias(doc_id), "n_words", F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("spans").isNotNull().alias("contaminated"),
+    )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """``docs`` without its contaminated rows, columns unchanged; see ``find_contamination`` for the defined cases."""
-    bad = find_contamination(docs, benchmark, doc_id, text, **options).where("contaminated").select(F.col(doc_id).alias("bad_id"), "text_key").distinct()
-    d, b = docs.alias("d"), bad.alias("b")
-    same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("b.bad_id")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("b.text_key"))
-    return d.join(b, same, "left_anti")
+    bad = contaminated_texts(docs, benchmark, text, item_id, item_text, window, k).alias("b")
+    d, keys = docs.alias("d"), text_keys(f"d.`{text}`")
+    return d.join(bad, (keys[0] == F.col("b.k1")) & (keys[1] == F.col("b.k2")), "left_anti")
