@@ -60,8 +60,8 @@ def candidate_windows(docs: DataFrame, windows: DataFrame, text: str, window: in
     """(k1, k2, s, n, gram): the places of each distinct text that may hold a benchmark window, a superset of the
     hits: equal text decides later."""
     span = window - k + 1
-    hashed = word_hashes(F.col("words"))
-    prints = windows.where(F.col("n") == window).select(F.array_min(gram_hashes(hashed, k)).alias("h")).distinct()
+    # arrays that a lambda looks into are columns of their own, or they would be made anew at every place
+    prints = windows.where(F.col("n") == window).select(word_hashes(F.col("words")).alias("hw")).select(F.array_min(gram_hashes(F.col("hw"), k)).alias("h")).distinct()
     short = windows.where(F.col("n") < window)
     longest = F.array_max(F.transform("words", lambda w, i: F.struct(F.length(w).alias("chars"), F.xxhash64(w).alias("h"), i.alias("at"))))
     short = short.select("n", longest.alias("m")).select("n", F.col("m.h").alias("h"), F.col("m.at").alias("at")).distinct()
@@ -69,7 +69,7 @@ def candidate_windows(docs: DataFrame, windows: DataFrame, text: str, window: in
 
     rows = docs.select(*text_keys(text), F.col(text).alias("body"))
     split = rows.select(*TEXT_KEYS, word_hashes(words_of(F.col("body"))).alias("hw"))
-    met = split.select(*TEXT_KEYS, F.explode(minima(gram_hashes(F.col("hw"), k), span)).alias("h")).join(prints, "h").select(*TEXT_KEYS, "h", F.lit(window).alias("n"), F.lit(-1).alias("at"))
+    met = split.select(*TEXT_KEYS, gram_hashes(F.col("hw"), k).alias("grams")).select(*TEXT_KEYS, F.explode(minima(F.col("grams"), span)).alias("h")).join(prints, "h").select(*TEXT_KEYS, "h", F.lit(window).alias("n"), F.lit(-1).alias("at"))
     if some_short:
         words = split.select(*TEXT_KEYS, F.explode(F.array_distinct("hw")).alias("h"))
         met = met.unionByName(words.join(short, "h").select(*TEXT_KEYS, "h", "n", "at"))
@@ -78,8 +78,8 @@ def candidate_windows(docs: DataFrame, windows: DataFrame, text: str, window: in
     tried = tried.withColumn("hw", word_hashes(F.col("w"))).withColumn("h", gram_hashes(F.col("hw"), k))
 
     last = F.size("w") - window
-    known = F.transform(F.filter("met", lambda m: m["at"] < 0), lambda m: m["h"])
-    anchors = F.filter(places(F.size("h")), lambda i: F.array_contains(known, F.get("h", i)))
+    tried = tried.withColumn("known", F.transform(F.filter("met", lambda m: m["at"] < 0), lambda m: m["h"]))
+    anchors = F.filter(places(F.size("h")), lambda i: F.array_contains("known", F.get("h", i)))
     reach = F.flatten(F.transform(anchors, lambda p: F.sequence(F.greatest(p - (window - k), F.lit(0)), F.least(p, last))))
     spots = F.transform(F.array_distinct(reach), lambda s: F.struct(s.alias("s"), F.lit(window).alias("n")))
     if some_short:
