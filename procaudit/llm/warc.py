@@ -1,8 +1,9 @@
 """WARC archives compressed record by record against a Zstandard dictionary.
 
 Each task writes one archive: a leading skippable frame holds a dictionary built from the archive's first records,
-and every record is a frame of its own, so a reader can start at any frame. The archives go through Spark's text
-sink as raw bytes; the separator that sink puts after each row is an empty skippable frame, which decoders pass over.
+and every record is a frame of its own, so a reader can start at any frame. There are as many archives as the payloads
+need at ``ARCHIVE_BYTES`` each. They go through Spark's text sink as raw bytes; the separator that sink puts after each
+row is an empty skippable frame, which decoders pass over.
 """
 
 from __future__ import annotations
@@ -21,19 +22,28 @@ DICTIONARY_MAGIC = 0x184D2A5D
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 MIN_REVISIT_BYTES = 1000
 DICTIONARY_BYTES = 32 * 1024
-#: The dictionary is built from so many bytes of an archive's first records, at most so many of one record.
+#: The dictionary is built from an archive's first records: so many bytes of them, at most so many of one.
 SAMPLE_BYTES, SAMPLE_RECORD_BYTES = 2 * 1024 * 1024, 16 * 1024
+#: Payload bytes of an archive, on average; a reader takes an archive whole.
+ARCHIVE_BYTES = 128 << 20
+#: The records of one payload go to so many parts.
+SALTS = 16
 LEVEL = 3
 
 
 def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): of equal payloads of ``min_bytes`` or more, all but the one with
-    the largest id refer to it. Digest groups are counted before anything is joined; single payloads are not moved
-    by key at all when the groups are few enough for Spark to broadcast."""
+    the largest id refer to it. Payloads move once, to as many partitions as they need; the rows of one digest are
+    dealt to ``SALTS`` of them, and smaller payloads, whatever their digest, by their own id."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     groups = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    found = rows.join(groups, "digest", "left")
+    size = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // ARCHIVE_BYTES))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+    rows = rows.withColumn("part", F.when(F.octet_length("payload") >= min_bytes, F.concat_ws("-", "digest", salt)).otherwise(F.concat_ws("-", "page_id", F.xxhash64("url"))))
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(F.concat_ws("-", "digest", "salt").alias("part"), "keeper")
+    found = rows.repartition(parts, "part").join(groups, "part", "left")
     return found.select("page_id", "url", "payload", "digest", F.when(F.coalesce(F.col("page_id") != F.col("keeper"), F.col("keeper").isNotNull()), F.col("keeper")).alias("refers_to"))
 
 
@@ -80,7 +90,7 @@ def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 frames.append(compressor.compress(record))
                 continue
             held.append(record)
-            size += min(len(record), SAMPLE_RECORD_BYTES)
+            size += len(record)
             if size >= SAMPLE_BYTES:
                 frames += opened()
         if frames:
@@ -151,7 +161,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 def archive_pages(pages: DataFrame, path: str, **columns) -> DataFrame:
     """Writes a WARC record per row of ``pages`` under ``path`` and returns what the archives hold.
 
-    Defined cases: a null html is an empty payload; payloads below ``MIN_REVISIT_BYTES`` are always responses;
+    Defined cases: a null html is an empty payload, and a very long one a record like any other; payloads below ``MIN_REVISIT_BYTES`` are always responses;
     repeated rows are a record each, and rows that share the largest id of their payload are all responses; a null
     id ranks below every other and reads back as null; a null url reads back as the empty text; other columns are
     ignored; an empty table makes an archive folder without archives and gives no rows.
