@@ -28,9 +28,9 @@ PREFIXES = (4, 5, 6, 7)
 HELD_OUT = 5
 CALIBRATION_BINS = 500
 NEAR = 5
-#: Second-person words of the four languages of the corpus.
+#: Second-person words of the four languages of the corpus.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros vuestro".split())
-#: Signs written in place of letters.
+#: Signs written in place of letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 N_FEATURES = 13
 
@@ -125,7 +125,7 @@ def features(texts: pa.Array, lexicon: dict[str, int]) -> np.ndarray:
         low, high = np.maximum(hits - NEAR, offsets[owner]), np.minimum(hits + NEAR + 1, offsets[owner + 1])
         near = np.bincount(owner, person[high] - person[low] > 0, len(texts))
     strong, weak, hidden = total[:, 0], total[:, 1], total[:, 2]
-    return np.stack([strong / n, np.minimum(strong, 20), weak / n, np.minimum(weak, 50), hidden / n, near, total[:, 3] / n, total[:, 5] / chars, total[:, 6] / n, total[:, 7] / chars, total[:, 8] / chars, total[:, 10] / chars, np.log1p(np.diff(offsets))], axis=1)
+    return np.stack([strong / n, np.log1p(strong), weak / n, np.log1p(weak), hidden / n, near, total[:, 3] / n, total[:, 5] / chars, total[:, 6] / n, total[:, 7] / chars, total[:, 8] / chars, total[:, 10] / chars, np.log1p(np.diff(offsets))], axis=1)
 
 
 def _extractor(lexicon: dict[str, int]):
@@ -143,7 +143,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
     Labels of ids with ``crc32(id as text) mod 5 = 0`` are never learned from; those with remainder 4 calibrate,
     the others make the lexicon and the trees. Both samples are bounded by parameters and chosen by hash of the id.
-    Defined cases: null and empty texts are scored like any text, all their features 0; rows without a label are
+    The score is the isotonic calibration of the trees' probability.
+    Defined cases: null and empty texts are scored like any text, all their features 0; very long texts are scored
+    whole, in a piece of their own; equal features give equal scores; rows without a label are
     only scored; several labels of an id count as their largest; null labels and ids are not learned from; without
     labels of both classes every score is the toxic share of the labels, 0.0 if there are none; repeated rows are
     scored each; other columns are not read; an empty table gives no rows.
@@ -183,6 +185,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     scored = rows.mapInArrow(extract, "_id long, f array<double>").select("_id", array_to_vector("f").alias("features"))
     scored = model.transform(scored).select("_id", raw.alias("raw"))
     scored = calibrated.transform(scored) if calibrated else scored.withColumn("score", F.col("raw"))
-    # a share of the uncalibrated score keeps the order inside the calibration's flat steps
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.95 * F.col("score") + 0.05 * F.col("raw")))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
     return scored.select(F.col("_id").alias(doc_id), held, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
