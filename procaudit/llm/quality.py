@@ -24,10 +24,10 @@ from procaudit.llm.tokens import BYTE_CLASS, CAPITAL, DIGIT, counted, mixed, pie
 SCORER_DOCUMENTS = 20_000
 BUCKETS = 512
 THRESHOLD = 0.5
-#: Prior rate of bad votes on good texts, and its weight in corpora.
-FALSE_ALARM, BELIEF = 0.001, 4.0
+#: Prior rate of bad votes on good texts, and its weight as a share of the corpus.
+FALSE_ALARM, BELIEF = 0.001, 0.02
 STATISTICS = 9
-#: Frequent words of the four languages of the corpus.
+#: Frequent words of the four languages of the corpus.
 FREQUENT = frozenset("the of and to in is that it for on with as by at this are be was from or a an der die das und in zu den mit von sich ein eine ist nicht des auf im le la les de des et un une que qui dans en du au pour par sur il elle ou el los las y del se su con una es al lo para".split())
 #: (statistic, bad below, bad above, good from, good to): a labeller votes bad outside the first pair, good inside
 #: the second, and not at all in between.
@@ -186,7 +186,7 @@ def score_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """(doc_id, text_key, posterior, score, keep) for each row of ``docs``: the weak labels' posterior of being
     good, the linear scorer's probability, and whether the scorer's is at least ``THRESHOLD``.
 
-    Defined cases: null and empty texts have no words, so only the labellers on characters and lines vote and the
+    Defined cases: very long texts are judged whole; null and empty texts have no words, so only the labellers on characters and lines vote and the
     scorer gives its intercept; repeated rows are scored each, alike; other columns are not read; where all
     posteriors fall on one side, the scorer is constant at that side; an empty table gives no rows.
     """
