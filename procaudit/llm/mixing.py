@@ -21,6 +21,10 @@ from procaudit.llm.tokens import pieces, split_words
 TARGET_ENTROPY, MAX_EPOCHS = 0.98, 4.0
 BLOCK_TOKENS = 1 << 20
 SEED = 11
+#: The plan has a row a source, which the driver makes and every task gets: so many sources at most, or an error.
+MAX_SOURCES = 100_000
+#: Blocks of an epoch are summed up to so many parts of its permutation before they are ranked in them.
+PERMUTATION_BITS = 10
 
 
 def entropy(weights: np.ndarray) -> float:
@@ -70,13 +74,15 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     of a block follow in the order of ``xxhash64(seed, epoch, doc_id, text_key)``.
 
     ``budget`` defaults to all tokens of the input. A source stops with the document that meets its budget. Defined
-    cases: a null source is a source of its own; texts without words (null, empty) have no tokens and are taken in
+    cases: a null source is a source of its own; a very long text is one document of one block; texts without words (null, empty) have no tokens and are taken in
     every epoch whose budget is not yet met before them; repeated rows are documents each, in one block; ties in a
     permutation go to the smaller block; other columns are not read; without tokens there are no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_key"), F.col(source).cast("string").alias("_source"), F.col(text).cast("string").alias("_text"))
     sized = rows.mapInArrow(_count, "_id long, _key long, _source string, n_tokens long")
-    totals = sized.groupBy("_source").agg(F.sum("n_tokens").alias("t")).where(F.col("t") > 0).orderBy("_source").collect()  # a row a source
+    totals = sized.groupBy("_source").agg(F.sum("n_tokens").alias("t")).where(F.col("t") > 0).orderBy("_source").limit(MAX_SOURCES + 1).collect()  # a row a source
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     out = sized.sparkSession.createDataFrame([], "_source string, quota double, epochs int, blocks long, weight double, power double")
     if totals:
         tokens = np.array([r["t"] for r in totals], np.float64)
@@ -91,8 +97,14 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
     epochs = F.explode(F.sequence(F.lit(1), F.greatest("epochs", F.lit(1)))).alias("epoch")
     blocks = dealt.groupBy("_source", "block", "epochs", "quota").agg(F.sum("n_tokens").alias("block_tokens")).select("_source", "block", "quota", "block_tokens", epochs)
-    shuffled = Window.partitionBy("_source").orderBy("epoch", F.xxhash64(F.lit(seed), "epoch", "block"), "block")
-    ranked = blocks.select("*", (F.sum("block_tokens").over(shuffled) - F.col("block_tokens")).alias("before"), F.row_number().over(Window.partitionBy("_source", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "block"), "block")).alias("block_rank"))
+    blocks = blocks.withColumn("turn", F.xxhash64(F.lit(seed), "epoch", "block")).withColumn("part", F.shiftright("turn", 64 - PERMUTATION_BITS))
+    # running sums in two steps: over a source's parts of permutations, then over the blocks of a part
+    parts = blocks.groupBy("_source", "epoch", "part").agg(F.sum("block_tokens").alias("tokens"), F.count("*").alias("n"))
+    so_far = lambda x, *by: F.sum(x).over(Window.partitionBy(*by[:-1]).orderBy(*by[-1])) - F.col(x)
+    parts = parts.select(F.col("_source").alias("s1"), F.col("epoch").alias("e1"), F.col("part").alias("p1"), so_far("tokens", "_source", ["epoch", "part"]).alias("tokens_before"), so_far("n", "_source", "epoch", ["part"]).alias("n_before"))
+    placed = blocks.join(parts, F.col("_source").eqNullSafe(F.col("s1")) & (F.col("epoch") == F.col("e1")) & (F.col("part") == F.col("p1")))
+    inside = Window.partitionBy("_source", "epoch", "part").orderBy("turn", "block")
+    ranked = placed.select("*", (F.col("tokens_before") + F.sum("block_tokens").over(inside) - F.col("block_tokens")).alias("before"), (F.col("n_before") + F.row_number().over(inside)).cast("int").alias("block_rank"))
     taken = ranked.where(F.col("before") < F.col("quota")).select(F.col("_source").alias("s2"), F.col("block").alias("b2"), "epoch", "block_rank", "before", (F.col("before") + F.col("block_tokens") > F.col("quota")).alias("cut"))
     placed = dealt.join(taken, dealt["_source"].eqNullSafe(F.col("s2")) & (dealt["block"] == F.col("b2"))).drop("s2", "b2")
     inside = Window.partitionBy("_source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "epoch", "_id", "_key"), "_id", "_key").rowsBetween(Window.unboundedPreceding, -1)
