@@ -251,56 +251,86 @@ def test_long_text_in_parts():
     assert one[2][-1] == len(x) - 100 and (one[1][1:] == one[2][:-1] + 1).all() and one[1][0] == 0
 
 
-def test_lm(spark, docs, monkeypatch):
-    from procaudit.llm import chunks, kneser_ney
+def kneser_ney(texts, order):
+    """(probability of a token after a context of order - 1 tokens, training counts of tokens), by the textbook."""
+    grams = {k: collections.Counter() for k in range(1, order + 1)}
+    for w in texts:
+        padded = [0] * (order - 1) + w
+        for i in range(order - 1, len(padded)):
+            grams[order][tuple(padded[i - order + 1 : i + 1])] += 1
+    for k in range(order - 1, 0, -1):  # continuation counts
+        for g in grams[k + 1]:
+            grams[k][g[1:]] += 1
+    seen = collections.Counter(x for w in texts for x in w)
+
+    def cuts(counts):
+        have = [sum(c == i for c in counts.values()) for i in (1, 2, 3, 4)]
+        if not have[0] or not have[1]:
+            return [0, 0.75, 0.75, 0.75]
+        y = have[0] / (have[0] + 2 * have[1])
+        raw = [i + 1 - (i + 2) * y * have[i + 1] / have[i] if have[i] else 1.5 for i in range(3)]
+        return [0, *[min(max(x, 0.05), i + 0.95) for i, x in enumerate(raw)]]
+
+    d = {k: cuts(g) for k, g in grams.items()}
+    after = {k: collections.defaultdict(list) for k in grams}
+    for k, g in grams.items():
+        for x, c in g.items():
+            after[k][x[:-1]].append(c)
+
+    def p(context, w):
+        low = 1 / (len(seen) + 1)
+        for k in range(1, order + 1):
+            c, mine = context[len(context) - k + 1 :], after[k][context[len(context) - k + 1 :]]
+            if mine:
+                low = max(grams[k][(*c, w)] - d[k][min(grams[k][(*c, w)], 3)], 0) / sum(mine) + sum(d[k][min(x, 3)] for x in mine) / sum(mine) * low
+        return low
+
+    return p, seen
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm(spark, docs, monkeypatch, order):
+    from procaudit.llm import chunks, kneser_ney as lm
 
     monkeypatch.setattr(chunks, "CHUNK_BYTES", 20_000)
     monkeypatch.setattr(chunks, "SHARD_BYTES", 30_000)
     toks = {d: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None] for d, t in docs}
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in toks}
-    uni, big = collections.Counter(), collections.Counter()
-    for d, w in toks.items():
-        if not held[d]:
-            uni.update(w)
-            big.update(zip([0, *w[:-1]], w, strict=True))
-    cont, after, context = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
-    for (a, b), k in big.items():
-        cont[b] += 1
-        after[a][min(k, 3) - 1] += 1
-        context[a] += k
-    total, size = sum(uni.values()), len(uni)
-
-    def discounts(counts):
-        h = collections.Counter(counts)
-        return kneser_ney.discounts(*(h[i] for i in (1, 2, 3, 4)))
-
-    e, f = discounts(big.values()), discounts(cont.values())
-    ones, twos = (sum(v == i for v in cont.values()) for i in (1, 2))
-    spare = (f[1] * ones + f[2] * twos + f[3] * (len(cont) - ones - twos)) / len(big)
-    single = lambda w: max(cont[w] - f[min(cont[w], 3)], 0) / len(big) + spare / (size + 1)
-
-    def p(a, b):
-        if not context[a]:
-            return single(b)
-        k = big[a, b]
-        return max(k - e[min(k, 3)], 0) / context[a] + sum(e[i + 1] * after[a][i] for i in range(3)) / context[a] * single(b)
-
-    rows = kneser_ney.score_documents(frame(spark, docs)).collect()
+    p, seen = kneser_ney([w for d, w in toks.items() if not held[d]], order)
+    total, size = sum(seen.values()), len(seen)
+    rows = lm.score_documents(frame(spark, docs), order=order).collect()
     assert len(rows) == len(docs)
     for r in rows:
         w = toks[r["doc_id"]]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(w), sum(uni[x] > 0 for x in w), total)
-        assert math.isclose(r["base_score"], sum(math.log10((uni[x] + 0.1) / (total + 0.1 * (size + 1))) for x in w), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p(a, b)) for a, b in zip([0, *w[:-1]], w, strict=True)), rel_tol=1e-9)
+        padded = [0] * (order - 1) + w
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(w), sum(seen[x] > 0 for x in w), total)
+        assert math.isclose(r["base_score"], sum(math.log10((seen[x] + 0.1) / (total + 0.1 * (size + 1))) for x in w), rel_tol=1e-9)
+        assert math.isclose(r["score"], sum(math.log10(p(tuple(padded[i : i + order - 1]), x)) for i, x in enumerate(w)), rel_tol=1e-9)
     # one context's probabilities over all known words and one unknown add up to 1
-    for a in ("shared", 0):
-        if context[a]:
-            assert math.isclose(sum(p(a, w) for w in uni) + p(a, "never seen"), 1.0, rel_tol=1e-9)
-    assert kneser_ney.score_documents(empty(spark)).count() == 0
-    alone = kneser_ney.score_documents(frame(spark, [(None, None), (None, "a b")])).collect()
+    start = (0,) * (order - 1)
+    assert math.isclose(sum(p(start, w) for w in seen) + p(start, "never seen"), 1.0, rel_tol=1e-9)
+
+
+def test_lm_cases(spark):
+    from procaudit.llm import kneser_ney as lm
+
+    assert lm.score_documents(empty(spark)).count() == 0
+    alone = lm.score_documents(frame(spark, [(None, None), (None, "a b")])).collect()
     assert sorted((r["held_out"], r["n_tokens"], r["train_tokens"]) for r in alone) == [(True, 1, 0), (True, 3, 0)]
 
 
+def test_lm_keys_and_counts(tmp_path):
+    from procaudit.llm import kneser_ney as lm
+
+    keys = np.unique(np.concatenate([np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2), np.array([0, 5, (1 << 64) - 1], np.uint64)]))
+    assert (lm.unpacked_keys(lm.packed_keys(keys)) == keys).all()
+    for most in (3, 70_000, (1 << 33) + 1, (1 << 62) + 3):
+        assert lm.widened(lm.narrow(np.array([[1, most], [0, 2]])), 2).tolist() == [[1, most], [0, 2]]
+    lm.store_array(keys, f"file://{tmp_path}/a/keys.npy")
+    mapped = lm.map_array(f"file://{tmp_path}/a/keys.npy")
+    assert isinstance(mapped, np.memmap) and (mapped == keys).all()
+
+
 def test_mixing(spark):
     from procaudit.llm.mixing import entropy, fit_power, mix_sources, tempered
 
