@@ -329,6 +329,10 @@ def test_lm_keys_and_counts(tmp_path):
     lm.store_array(keys, f"file://{tmp_path}/a/keys.npy")
     mapped = lm.map_array(f"file://{tmp_path}/a/keys.npy")
     assert isinstance(mapped, np.memmap) and (mapped == keys).all()
+    values = np.array([[1, 254, 255, 256, 0], [1 << 40, 0, 7, 255, (1 << 62) + 1]])
+    lm.store_values(values, f"file://{tmp_path}/a/shard")
+    places = np.array([4, 0, 3, 2, 2, 1])
+    assert (lm.mapped_values(f"file://{tmp_path}/a/shard")(places) == values[:, places]).all()
 
 
 def test_mixing(spark):
