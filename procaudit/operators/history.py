@@ -24,9 +24,45 @@ def trainable_rows(history: DataFrame) -> DataFrame:
     return history.where((F.col("estado") == 1) & filled("hallazgo") & filled("codigo_grupo_auditor"))
 
 
+def given_filters(requests: DataFrame) -> DataFrame:
+    """(r_id, f_empresa, f_seguro): an empty company or insurer 0 is no filter."""
+    return requests.select("r_id", F.expr("nullif(r_empresa, '')").alias("f_empresa"), F.expr("nullif(r_seguro, 0)").alias("f_seguro"))
+
+
+def filter_pools(requests: DataFrame, history: DataFrame) -> DataFrame:
+    """The history rows of every combination of filters that requests give, each combination once: f_empresa and
+    f_seguro (null: no filter) before the columns of ``history``. Equi-joins only."""
+    combos = given_filters(requests).select("f_empresa", "f_seguro").distinct()
+    out = None
+    for by_company in (False, True):
+        for by_insurer in (False, True):
+            rows = history.withColumns({"f_empresa": F.col("id_empresa") if by_company else F.lit(None).cast("string"), "f_seguro": F.col("id_seguro") if by_insurer else F.lit(None).cast("long")})
+            mine = combos.where((F.col("f_empresa").isNotNull() == by_company) & (F.col("f_seguro").isNotNull() == by_insurer))
+            keys = [k for k, given in (("f_empresa", by_company), ("f_seguro", by_insurer)) if given]
+            if keys:
+                rows = rows.join(mine.select(keys), keys, "left_semi")
+            rows = rows.select("f_empresa", "f_seguro", *history.columns)
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def filter_counts(requests: DataFrame, history: DataFrame) -> DataFrame:
+    """(r_id, n, visits) of the history rows that a request may use, for requests that may use any: counted once a
+    combination of filters, less the rows of the request's own visit."""
+    per = history.where(F.col("id_agenda").isNotNull()).groupBy("id_agenda", "id_empresa", "id_seguro").agg(F.count("*").alias("m"))
+    visits = filter_pools(requests, per).groupBy("f_empresa", "f_seguro", "id_agenda").agg(F.sum("m").alias("m"))
+    every = visits.groupBy("f_empresa", "f_seguro").agg(F.sum("m").alias("n"), F.count("*").alias("visits")).withColumnsRenamed({"f_empresa": "e", "f_seguro": "s"})
+    r = given_filters(requests).join(every, F.col("f_empresa").eqNullSafe(F.col("e")) & F.col("f_seguro").eqNullSafe(F.col("s")))
+    passes = (F.col("f_empresa").isNull() | (F.col("f_empresa") == F.col("id_empresa"))) & (F.col("f_seguro").isNull() | (F.col("f_seguro") == F.col("id_seguro")))
+    own = r.join(per, F.col("r_id") == F.col("id_agenda")).where(passes).groupBy("r_id").agg(F.sum("m").alias("own"))
+    out = r.join(own, "r_id", "left").select("r_id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n"), (F.col("visits") - F.col("own").isNotNull().cast("long")).alias("visits"))
+    return out.where("n > 0")
+
+
 def optional_filters(requests: DataFrame, history: DataFrame) -> DataFrame:
-    """Requests (r_id, r_empresa, r_seguro) with the history rows they may use. An empty company or insurer 0 is no
-    filter. Each combination of given filters is an equi-join of its own, so no pair is made that a filter drops."""
+    """Requests (r_id, r_empresa, r_seguro) with the history rows they may use, a row a pair. An empty company or
+    insurer 0 is no filter. Each combination of given filters is an equi-join of its own, so no pair is made that a
+    filter drops; to count or rank pairs, ``filter_counts`` and ``filter_pools`` make none."""
     r = requests.select(F.col("r_id"), F.expr("nullif(r_empresa, '')").alias("r_empresa"), F.expr("nullif(r_seguro, 0)").alias("r_seguro"))
     parts = []
     for by_company in (False, True):

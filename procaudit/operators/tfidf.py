@@ -31,81 +31,126 @@ def tfidf_transform(counts: DataFrame, vocabulary: DataFrame, key: str = "id") -
     return raw.join(norms, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def cosine_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(q_id, id, score) of all pairs that share a gram; for a bounded side of ``vectors``, such as templates."""
-    q = queries.select(F.col("id").alias("q_id"), "gram", F.col("weight").alias("qw"))
-    return q.join(vectors, "gram").groupBy("q_id", "id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
-
-
 #: Rows of a block: a task holds one block of queries and one of train rows.
 BLOCK_ROWS = 4096
-#: Queries whose scores against a train block are held at once.
-QUERY_ROWS = 512
+#: Queries whose scores against a train block are held at once, and products that are added up at once.
+QUERY_ROWS, PRODUCTS = 512, 1 << 22
+FOUND = "q_id long, id {id}, score double"
 
 
 def _blocks(df: DataFrame, key: str, value: str, blocks: int, name: str) -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks))).select(name, F.col(key).alias("id"), value)
 
 
-def _nearest(queries: DataFrame, train: DataFrame, value: str, score, blocks: int | None) -> DataFrame:
-    """Block against block: each query block meets each train block once, and the blocks' best are merged. Without
+def _block_pairs(queries: DataFrame, train: DataFrame, value: str, score, blocks: int | None) -> DataFrame:
+    """(q_id, id, score): what ``score`` finds in each query block against each train block, which meet once. Without
     ``blocks``, each side has as many as hold about BLOCK_ROWS rows."""
     qs, ts = (blocks or -(-df.count() // BLOCK_ROWS) or 1 for df in (queries, train))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     q = _blocks(queries, "id", value, qs, "qb").withColumn("tb", every(ts))
     t = _blocks(train, "id", value, ts, "tb").withColumn("qb", every(qs))
-    best = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(score, "q_id long, id long, score double")
-    return best.groupBy("q_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.max("score").alias("score"))
+    return q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(score, FOUND.format(id=train.schema["id"].dataType.simpleString()))
+
+
+def _found(queries: list, ids: list, scores: list, of: pd.Series) -> pd.DataFrame:
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return pd.DataFrame({"q_id": join(queries, np.int64).astype(np.int64), "id": pd.Series(join(ids, of.dtype), dtype=of.dtype), "score": join(scores, np.float64)})
+
+
+def _best_of(scores: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's ``n`` largest scores above ``least``; of equal ones the first."""
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :n] if n > 1 else scores.argmax(axis=1)[:, None]
+    row = np.repeat(np.arange(len(scores)), order.shape[1])
+    column = order.ravel()
+    real = scores[row, column] > least
+    return row[real], column[real]
 
 
 def _dense_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if left.empty or right.empty:
-        return pd.DataFrame({"q_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        return _found([], [], [], right["id"])
     right = right.sort_values("id")
     q, t = (np.stack(df["v"].to_numpy()).astype(np.float64) for df in (left, right))
     q, t = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (q, t))
-    at, top = np.zeros(len(q), np.int64), np.zeros(len(q))
+    keys, ids = left["id"].to_numpy(), right["id"].to_numpy()
+    out: tuple[list, list, list] = ([], [], [])
     for a in range(0, len(q), QUERY_ROWS):
         s = np.round(q[a : a + QUERY_ROWS] @ t.T, 12)
-        at[a : a + QUERY_ROWS], top[a : a + QUERY_ROWS] = s.argmax(axis=1), s.max(axis=1)
-    return pd.DataFrame({"q_id": left["id"].to_numpy(), "id": right["id"].to_numpy()[at], "score": top})
-
-
-def _sparse_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    if left.empty or right.empty:
-        return pd.DataFrame({"q_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-    right = right.sort_values("id")
-    owners = np.repeat(np.arange(len(right)), [len(v) for v in right["v"]])
-    grams = np.array([p["gram"] for v in right["v"] for p in v], object)
-    weights = np.array([p["weight"] for v in right["v"] for p in v], np.float64)
-    order = np.argsort(grams, kind="stable")
-    grams, owners, weights = grams[order], owners[order], weights[order]
-    out = []
-    for key, vector in zip(left["id"], left["v"], strict=True):
-        scores = np.zeros(len(right))
-        for p in vector:
-            a, b = np.searchsorted(grams, p["gram"], "left"), np.searchsorted(grams, p["gram"], "right")
-            scores[owners[a:b]] += p["weight"] * weights[a:b]
-        scores = np.round(scores, 12)
-        at = int(scores.argmax())
-        out.append((key, int(right["id"].iloc[at]), float(scores[at])))
-    return pd.DataFrame(out, columns=["q_id", "id", "score"])
+        mine = keys[a : a + QUERY_ROWS]
+        own = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
+        same = np.flatnonzero(ids[own] == mine)
+        s[same, own[same]] = -np.inf
+        row, column = _best_of(s, 1, -np.inf)
+        for part, values in zip(out, (mine[row], ids[column], s[row, column]), strict=True):
+            part.append(values)
+    return _found(*out, right["id"])
+
+
+def _sparse_best(n: int, least: float):
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Scores of query vectors against postings of the train block, added up term by term."""
+        if left.empty or right.empty:
+            return _found([], [], [], right["id"])
+        right = right.sort_values("id")
+        vectors = lambda df: ([np.array([p["gram"] for p in v], np.int64) for v in df["v"]], [np.array([p["weight"] for p in v], np.float64) for v in df["v"]])
+        t_grams, t_weights = vectors(right)
+        owners = np.repeat(np.arange(len(right)), [len(v) for v in t_grams])
+        grams, weights = np.concatenate(t_grams), np.concatenate(t_weights)
+        order = np.argsort(grams, kind="stable")
+        grams, owners, weights = grams[order], owners[order], weights[order]
+        q_grams, q_weights = vectors(left)
+        keys, ids = left["id"].to_numpy(), right["id"].to_numpy()
+        out: tuple[list, list, list] = ([], [], [])
+        for a in range(0, len(left), QUERY_ROWS):
+            g, w = np.concatenate(q_grams[a : a + QUERY_ROWS]), np.concatenate(q_weights[a : a + QUERY_ROWS])
+            who = np.repeat(np.arange(len(keys[a : a + QUERY_ROWS])), [len(v) for v in q_grams[a : a + QUERY_ROWS]])
+            low, high = np.searchsorted(grams, g, "left"), np.searchsorted(grams, g, "right")
+            ends = np.cumsum(high - low)
+            scores = np.zeros(len(keys[a : a + QUERY_ROWS]) * len(ids))
+            x = 0
+            while x < len(g):
+                y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + PRODUCTS, "right")))
+                size = (high - low)[x:y]
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[x:y], size)
+                place = np.repeat(who[x:y], size) * len(ids) + owners[at]
+                scores += np.bincount(place, np.repeat(w[x:y], size) * weights[at], len(scores))
+                x = y
+            s = np.round(scores.reshape(-1, len(ids)), 12)
+            row, column = _best_of(s, n, least)
+            for part, values in zip(out, (keys[a : a + QUERY_ROWS][row], ids[column], s[row, column]), strict=True):
+                part.append(values)
+        return _found(*out, right["id"])
+
+    return best
+
+
+def _packed(vectors: DataFrame) -> DataFrame:
+    """(id, v): each vector as one list, its grams as 64-bit hashes (a vocabulary has 250,000 of them at most)."""
+    return vectors.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("gram"), "weight")).alias("v"))
+
+
+def cosine_top(queries: DataFrame, vectors: DataFrame, n: int = 3, blocks: int | None = None) -> DataFrame:
+    """(q_id, id, score) of each query's ``n`` best in every block of ``vectors``, among those that share a gram."""
+    return _block_pairs(_packed(queries), _packed(vectors), "v", _sparse_best(n, 0.0), blocks)
+
+
+def _nearest(found: DataFrame) -> DataFrame:
+    return found.groupBy("q_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.max("score").alias("score"))
 
 
 def nn_embeddings(queries: DataFrame, train: DataFrame, blocks: int | None = None) -> DataFrame:
     """(q_id, id, score): the train row of largest cosine for each query, of equal ones the smallest id. Both have
-    (id, v) with vectors of one width."""
-    return _nearest(queries, train, "v", _dense_best, blocks)
+    (id, v) with vectors of one width; a query is no neighbour of its own."""
+    return _nearest(_block_pairs(queries, train, "v", _dense_best, blocks))
 
 
 def nn_tfidf(queries: DataFrame, train: DataFrame, ids: DataFrame, train_ids: DataFrame, blocks: int | None = None) -> DataFrame:
     """The same on tidy (id, gram, weight) vectors; texts without a known gram have score 0."""
 
     def packed(vectors: DataFrame, every: DataFrame) -> DataFrame:
-        rows = vectors.groupBy("id").agg(F.collect_list(F.struct("gram", "weight")).alias("v"))
-        return every.select("id").join(rows, "id", "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<gram:string,weight:double>>")))
+        return every.select("id").join(_packed(vectors), "id", "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<gram:bigint,weight:double>>")))
 
-    return _nearest(packed(queries, ids), packed(train, train_ids), "v", _sparse_best, blocks)
+    return _nearest(_block_pairs(packed(queries, ids), packed(train, train_ids), "v", _sparse_best(1, -1.0), blocks))
 
 
 def nn_predict(nearest: DataFrame, labels: DataFrame, min_similarity: float) -> DataFrame:

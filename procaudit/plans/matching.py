@@ -26,18 +26,21 @@ GROUPS = f"""g AS MATERIALIZED (SELECT id_agenda, id_empresa, id_seguro, codigo_
  string_agg(DISTINCT codigo, ',' ORDER BY codigo) AS codigos, max(hallazgo) AS hallazgo, max(conclusion) AS conclusion, max(updated_at) AS recent, min(id) AS group_id FROM audit_detail WHERE {ACTIVE} GROUP BY ALL)"""
 POOLED = """r AS (SELECT id_agenda AS r_id, nullif(id_empresa, '') AS e, nullif(id_seguro, 0) AS s, coalesce(procedimiento_sistema, '') AS proc, coalesce(procedimiento_sistema, '') || ' ' || coalesce(hallazgos_conclusion, '') || ' ' || coalesce(descripcion_estudio_013, '') AS txt FROM solicitudes),
  pool AS MATERIALIZED (SELECT r_id, group_id, place FROM (SELECT r_id, group_id, row_number() OVER (PARTITION BY r_id ORDER BY recent DESC, group_id) AS place FROM r JOIN g ON g.id_agenda <> r_id AND (e IS NULL OR g.id_empresa = e) AND (s IS NULL OR g.id_seguro = s)) WHERE place <= 5000)"""
-SCORED = f"""gt AS (SELECT group_id, codigo_grupo_auditor, {R.joined('nombre_procedimiento', 'procedimiento_auditor', 'hallazgo', 'conclusion')} AS txt, {R.clean(R.joined('nombre_procedimiento', 'procedimiento_auditor'))} AS proc_h FROM g),
- tx AS MATERIALIZED (SELECT row_number() OVER () AS text_id, txt FROM (SELECT DISTINCT txt FROM gt)),
+SCORED = f"""gx AS MATERIALIZED (SELECT group_id, coalesce(codigo_grupo_auditor <> '', false) AS named, {R.joined('nombre_procedimiento', 'procedimiento_auditor', 'hallazgo', 'conclusion')} AS txt, {R.joined('nombre_procedimiento', 'procedimiento_auditor')} AS proc FROM g),
+ tx AS MATERIALIZED (SELECT row_number() OVER () AS text_id, txt FROM (SELECT DISTINCT txt FROM gx)),
+ px AS MATERIALIZED (SELECT row_number() OVER () AS proc_id, proc, {R.clean('proc')} AS proc_h FROM (SELECT DISTINCT proc FROM gx)),
+ gk AS MATERIALIZED (SELECT group_id, named, text_id, proc_id FROM gx JOIN tx USING (txt) JOIN px USING (proc)),
  hb AS MATERIALIZED (SELECT text_id, token, count(*) AS n FROM (SELECT text_id, unnest({R.words('txt')}) AS token FROM tx) GROUP BY ALL),
  rb AS MATERIALIZED (SELECT r_id, token, count(*) AS n FROM (SELECT r_id, unnest({R.words('txt')}) AS token FROM r) GROUP BY ALL),
- ht AS (SELECT text_id, sum(n) AS t FROM hb GROUP BY ALL), rt AS (SELECT r_id, sum(n) AS t FROM rb GROUP BY ALL),
- need AS MATERIALIZED (SELECT DISTINCT r_id, text_id FROM pool JOIN gt USING (group_id) JOIN tx USING (txt)),
- cm AS MATERIALIZED (SELECT r_id, text_id, sum(least(rb.n, hb.n)) AS c FROM need JOIN rb USING (r_id) JOIN hb USING (text_id, token) GROUP BY ALL),
- jac AS (SELECT r_id, text_id, coalesce(coalesce(c, 0) / (rt.t + ht.t - coalesce(c, 0)), 0) AS j FROM need LEFT JOIN cm USING (r_id, text_id) LEFT JOIN rt USING (r_id) LEFT JOIN ht USING (text_id)),
- rc AS (SELECT r_id, {R.clean('proc')} AS proc_r FROM r),
- sc AS MATERIALIZED (SELECT r_id, group_id, place, j + CASE WHEN proc_r <> '' AND proc_h <> '' AND contains(proc_h, proc_r) THEN 0.3
-   WHEN proc_r <> '' AND proc_h <> '' AND len(list_filter(string_split(proc_r, ' '), lambda w: length(w) > 4 AND contains(proc_h, w))) > 0 THEN 0.1 ELSE 0 END + CASE WHEN codigo_grupo_auditor <> '' THEN 0.05 ELSE 0 END AS score
-   FROM pool JOIN gt USING (group_id) JOIN tx USING (txt) JOIN jac USING (r_id, text_id) JOIN rc USING (r_id)),
+ ht AS MATERIALIZED (SELECT text_id, sum(n) AS t FROM hb GROUP BY ALL), rt AS MATERIALIZED (SELECT r_id, sum(n) AS t FROM rb GROUP BY ALL),
+ kd AS MATERIALIZED (SELECT r_id, text_id, proc_id, named, count(*) AS n, min(place) AS place, arg_min(group_id, place) AS group_id FROM pool JOIN gk USING (group_id) GROUP BY ALL),
+ cm AS MATERIALIZED (SELECT r_id, text_id, sum(least(rb.n, hb.n)) AS c FROM (SELECT DISTINCT r_id, text_id FROM kd) JOIN rb USING (r_id) JOIN hb USING (text_id, token) GROUP BY ALL),
+ rc AS MATERIALIZED (SELECT r_id, {R.clean('proc')} AS proc_r FROM r),
+ bo AS MATERIALIZED (SELECT r_id, proc_id, CASE WHEN proc_r <> '' AND proc_h <> '' AND contains(proc_h, proc_r) THEN 0.3
+   WHEN proc_r <> '' AND proc_h <> '' AND len(list_filter(string_split(proc_r, ' '), lambda w: length(w) > 4 AND contains(proc_h, w))) > 0 THEN 0.1 ELSE 0 END AS bonus
+   FROM (SELECT DISTINCT r_id, proc_id FROM kd) JOIN px USING (proc_id) JOIN rc USING (r_id)),
+ sc AS MATERIALIZED (SELECT r_id, group_id, place, n, coalesce(coalesce(c, 0) / (rt.t + ht.t - coalesce(c, 0)), 0) + bonus + CASE WHEN named THEN 0.05 ELSE 0 END AS score
+   FROM kd LEFT JOIN cm USING (r_id, text_id) LEFT JOIN rt USING (r_id) LEFT JOIN ht USING (text_id) JOIN bo USING (r_id, proc_id)),
  best AS (SELECT r_id, group_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r_id ORDER BY round(score, 10) DESC, place) AS k FROM sc) WHERE k = 1)"""
 
 
@@ -52,6 +55,14 @@ def recent_candidates(spark, sf_dir):
     return M.recent_candidates(r, H.history_groups(d)).groupBy("r_id").agg(F.count("*").alias("n"), F.min("place").cast("long").alias("first"), F.max("place").cast("long").alias("last"), F.min("group_id").alias("least_group"))
 
 
+@query(f"WITH {GROUPS}, {POOLED.split(' pool AS')[0].rstrip().rstrip(',')} SELECT r_id, count(*) AS n, count(DISTINCT id_agenda) AS visits FROM r JOIN g ON g.id_agenda <> r_id AND (e IS NULL OR g.id_empresa = e) AND (s IS NULL OR g.id_seguro = s) GROUP BY r_id", *MATCHED)
+def request_candidates(spark, sf_dir):
+    """How many groups of the history each request may be matched with, of how many visits."""
+    s, d = both(spark, sf_dir)
+    r = s.select(F.col("id_agenda").alias("r_id"), F.col("id_empresa").alias("r_empresa"), F.col("id_seguro").alias("r_seguro"))
+    return H.filter_counts(r, H.history_groups(d))
+
+
 @query(f"""WITH a AS (SELECT id_agenda, {R.joined('procedimiento_sistema', 'hallazgos_conclusion', 'descripcion_estudio_013')} AS txt FROM solicitudes),
  b AS (SELECT id_agenda, token, count(*) AS n FROM (SELECT id_agenda, unnest({R.words('txt')}) AS token FROM a) GROUP BY ALL), t AS (SELECT id_agenda, sum(n) AS t FROM b GROUP BY ALL),
  p AS (SELECT x.id_agenda AS left_id, y.id_agenda AS right_id FROM a x JOIN a y ON y.id_agenda = x.id_agenda + 50),
@@ -66,10 +77,10 @@ def weighted_jaccard(spark, sf_dir):
     return out.select("left_id", "right_id", F.round("jaccard", 4).alias("jaccard"))
 
 
-@query(f"WITH {GROUPS}, {POOLED}, {SCORED} SELECT r_id, count(*) AS n, round(max(score), 4) AS best, round(avg(score), 4) AS mean FROM sc GROUP BY r_id", *MATCHED)
+@query(f"WITH {GROUPS}, {POOLED}, {SCORED} SELECT r_id, CAST(sum(n) AS BIGINT) AS n, round(max(score), 4) AS best, round(sum(n * score) / sum(n), 4) AS mean FROM sc GROUP BY r_id", *MATCHED)
 def history_score(spark, sf_dir):
     scored, _ = M.scored_candidates(*both(spark, sf_dir))
-    return scored.groupBy("r_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("best"), F.round(F.avg("score"), 4).alias("mean"))
+    return scored.groupBy("r_id").agg(F.sum("n").alias("n"), F.round(F.max("score"), 4).alias("best"), F.round(F.sum(F.col("n") * F.col("score")) / F.sum("n"), 4).alias("mean"))
 
 
 @query(f"WITH {GROUPS}, {POOLED}, {SCORED} SELECT r_id, group_id, round(score, 4) AS score FROM best", *MATCHED)
@@ -158,11 +169,11 @@ def nn_metrics(spark, sf_dir):
     return E.nn_metrics(rows)
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS q_id, t.vec_id AS id, round(list_cosine_similarity(q.e, t.e), 12) AS score FROM v q JOIN v t ON q.vec_id % 20 = 0 AND t.vec_id % 20 <> 0)
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS q_id, t.vec_id AS id, round(list_cosine_similarity(q.e, t.e), 12) AS score FROM v q JOIN v t ON q.vec_id % 20 = 0 AND t.vec_id <> q.vec_id)
  SELECT q_id, id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS k FROM s) WHERE k = 1""")
 def nn_embeddings(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return I.nn_embeddings(v.where("id % 20 = 0"), v.where("id % 20 <> 0")).withColumn("score", F.round("score", 4))
+    return I.nn_embeddings(v.where("id % 20 = 0"), v).withColumn("score", F.round("score", 4))
 
 
 INDEX = f"{JOINED}, {PROCS}, {KEPT}, {ASSEMBLED}, tp AS (SELECT cod_plantilla AS id, texto AS txt FROM texts WHERE texto <> ''), {tfidf_sql('tp', 'i', 1, 100_000)}"
@@ -183,7 +194,7 @@ def indexed(spark, sf_dir):
 def searched(spark, sf_dir):
     _, vocabulary, vectors = indexed(spark, sf_dir)
     q = I.tfidf_transform(I.gram_counts(requests(spark, sf_dir)), vocabulary)
-    return I.top_matches(I.cosine_pairs(q, vectors))
+    return I.top_matches(I.cosine_top(q, vectors))
 
 
 @query(f"WITH {INDEX} SELECT id, count(*) AS grams, round(sum(weight), 4) AS total FROM i_w GROUP BY id", *TEMPLATES)

@@ -58,10 +58,7 @@ REQUESTS = "r AS (SELECT id_agenda AS r_id, nullif(id_empresa, '') AS e, nullif(
 @query(f"WITH {REQUESTS} SELECT r_id, count(*) AS n, count(DISTINCT h.id_agenda) AS visits FROM r JOIN audit_detail h ON h.{ACTIVE.replace('codigo', 'h.codigo').replace('estado', 'estado')} AND h.id_agenda <> r_id AND (e IS NULL OR h.id_empresa = e) AND (s IS NULL OR h.id_seguro = s) GROUP BY r_id", "audit_detail", "solicitudes")
 def optional_filters(spark, sf_dir):
     r = table(spark, sf_dir, "solicitudes").select(F.col("id_agenda").alias("r_id"), F.col("id_empresa").alias("r_empresa"), F.col("id_seguro").alias("r_seguro"))
-    h = H.active_coded(detail(spark, sf_dir)).select("id_agenda", "id_empresa", "id_seguro")
-    # the history is counted per visit first, so the join meets visits instead of rows
-    per = h.groupBy("id_agenda", "id_empresa", "id_seguro").agg(F.count("*").alias("m"))
-    return H.optional_filters(r, per).groupBy("r_id").agg(F.sum("m").alias("n"), F.count_distinct("id_agenda").alias("visits"))
+    return H.filter_counts(r, H.active_coded(detail(spark, sf_dir)))
 
 
 @query(f"SELECT id, {R.code('codigo')} AS codigo_norm FROM audit_detail WHERE {ACTIVE} AND {R.code('codigo')} <> '' AND mes_plano = '1995-03'", "audit_detail")
