@@ -74,7 +74,8 @@ def candidate_windows(docs: DataFrame, windows: DataFrame, text: str, window: in
         words = split.select(*TEXT_KEYS, F.explode(F.array_distinct("hw")).alias("h"))
         met = met.unionByName(words.join(short, "h").select(*TEXT_KEYS, "h", "n", "at"))
     met = met.groupBy(*TEXT_KEYS).agg(F.collect_set(F.struct("h", "n", "at")).alias("met"))
-    tried = rows.join(met, TEXT_KEYS).dropDuplicates(TEXT_KEYS).select(*TEXT_KEYS, "met", words_of(F.col("body")).alias("w"))
+    texts = rows.groupBy(*TEXT_KEYS).agg(F.first("body").alias("body"))  # copies become one before they move
+    tried = texts.join(met, TEXT_KEYS).select(*TEXT_KEYS, "met", words_of(F.col("body")).alias("w"))
     tried = tried.withColumn("hw", word_hashes(F.col("w"))).withColumn("h", gram_hashes(F.col("hw"), k))
 
     last = F.size("w") - window
