@@ -105,11 +105,13 @@ def covered(spans: Column) -> Column:
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int, k: int) -> DataFrame:
-    """(k1, k2, spans, items) of each distinct text that holds a benchmark window."""
+    """(k1, k2, spans, items) of each distinct text that holds a benchmark window, written, so that a join with it can
+    split what many rows of one text make."""
     windows = saved(benchmark_windows(benchmark, item_id, item_text, window), "benchmark-windows")
     by_gram = windows.groupBy("n", "gram").agg(F.collect_set("item").alias("held_by"))
     hits = candidate_windows(docs, windows, text, window, k).join(by_gram, ["n", "gram"])
-    return hits.groupBy(*TEXT_KEYS).agg(F.array_sort(F.collect_set(F.struct("s", "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("held_by")))).alias("items"))
+    found = hits.groupBy(*TEXT_KEYS).agg(F.array_sort(F.collect_set(F.struct("s", "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("held_by")))).alias("items"))
+    return saved(found, "contaminated-texts")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:

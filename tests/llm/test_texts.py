@@ -347,6 +347,20 @@ def test_mixing(spark):
     power = fit_power(shares, shares.sum(), 0.9, 99.0)
     weights = tempered(shares / shares.sum(), power)
     assert entropy(weights) >= 0.9 * math.log(4) - 1e-6 and math.isclose(out[0]["power"], power, rel_tol=1e-9)
+
+    def spread(p):  # by itself: the entropy of the shares to a power
+        raised = [(t / sum(tokens.values())) ** p for t in tokens.values()]
+        return -sum(x / sum(raised) * math.log(x / sum(raised)) for x in raised)
+
+    assert spread(power) >= 0.9 * math.log(4) - 1e-9 > spread(power + 1e-6) - 2e-9
+    assert np.allclose(weights, [t**power / sum(x**power for x in tokens.values()) for t in tokens.values()])
+    ranks = collections.defaultdict(set)
+    for r in out:
+        ranks[r["source"], r["epoch"]].add((r["block_rank"], r["block"]))
+    for taken in ranks.values():  # each epoch takes blocks in the order of a permutation, from its first on
+        assert len({k for k, _ in taken}) == len({b for _, b in taken}) == len(taken)
+    again = mix_sources(df.unionByName(df.limit(3)).withColumn("epoch", F.lit("x")), block_tokens=200).collect()
+    assert {r["doc_id"] for r in again} <= {i for i, _, _ in rows}
     for (s, t), w in zip(tokens.items(), weights, strict=True):
         mine = [r for r in out if r["source"] == s]
         got, quota = sum(r["n_tokens"] for r in mine), shares.sum() * w
