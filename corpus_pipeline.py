@@ -17,29 +17,34 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts are judged like any; very long ones as a
+    whole; repeated rows stay or go together; an empty table stays empty."""
     return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Frequent lines stay in one document only; ``n_chars`` follows the text."""
+    """Frequent lines stay in one document only, that of the largest id; ``n_chars`` follows the text. Null texts stay
+    null, empty ones empty; repeated rows of one id lose the same lines; an empty table stays empty."""
     cut = dedup_lines(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; documents without an id stay."""
+    """Of each group of near copies the document with the smallest id stays, all its rows if it is repeated. Documents
+    without an id, null, empty and blank texts stay; very long texts are compared whole; an empty table stays empty."""
     groups = near_duplicates(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go, repeated rows alike. Null and empty texts stay; very long texts are
+    searched whole; an empty table stays empty."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Which documents the mixture takes, in which epoch and block."""
+    """Which documents the mixture takes, in which epoch and block: a row a document and epoch. A null source is one of
+    its own; texts without words cost nothing; repeated rows count each; without tokens there are no rows."""
     return mix_sources(docs)
 
 

@@ -164,3 +164,38 @@ def test_plans_have_no_cross_products(spark):
     for name in ("code_report", "plan_updates", "training_set", "threshold_sweep"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan
+
+
+def test_readers(spark, tmp_path):
+    """Parquet by name and by group, with the fixed schemas."""
+    from procaudit.sources import tables as S
+    from procaudit.sources.fixtures import table
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("audit_detail", *S.TEMPLATES):
+        S.conformed(table(spark, sf, name), name).write.parquet(f"{tmp_path}/{name}.parquet")
+    history = S.read_history(spark, f"{tmp_path}/audit_detail.parquet")
+    assert history.columns == [c.split()[0] for c in S.SCHEMAS["audit_detail"].split(", ")] and history.count() == table(spark, sf, "audit_detail").count()
+    group = S.read_group(spark, S.TEMPLATES, str(tmp_path))
+    assert set(group) == set(S.TEMPLATES) and all(group[n].count() == table(spark, sf, n).count() for n in group)
+
+
+def test_filters_meet_without_products(spark):
+    """Counts by combination of filters are those of the pairs, and no product is planned."""
+    from procaudit.operators import history as H
+
+    rows = [(i % 7, str(i % 3) if i % 5 else None, i % 4) for i in range(60)]
+    history = spark.createDataFrame(rows, "id_agenda long, id_empresa string, id_seguro long")
+    asked = [(0, "1", 2), (1, "", 0), (2, None, 3), (3, "2", None), (99, "", None), (5, "9", 9)]
+    requests = spark.createDataFrame(asked, "r_id long, r_empresa string, r_seguro long")
+    counted = H.filter_counts(requests, history)
+    expected = set()
+    for r, e, s in asked:
+        mine = [v for v, he, hs in rows if v != r and (not e or he == e) and (not s or hs == s)]
+        if mine:
+            expected.add((r, len(mine), len(set(mine))))
+    assert {tuple(x) for x in counted.collect()} == expected
+    plan = counted._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    pairs = H.optional_filters(requests, history).groupBy("r_id").count().collect()
+    assert {tuple(x) for x in pairs} == {(r, n) for r, n, _ in expected}
