@@ -82,18 +82,17 @@ def code_text(text: Column, code: Column) -> Column:
 
 
 def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
-    """Every gram of ``low``..``high`` characters of each word padded with one space on both sides; a padded word
-    shorter than a length is one gram of its whole, once. Lower case, accents dropped in compatibility form."""
+    """Every gram of ``low`` (3 at least) to ``high`` characters of each word padded with one space on both sides; a
+    padded word shorter than ``low`` is one gram of its whole. Ordered by length, then place. Lower case, accents dropped in compatibility form."""
     folded = fold_accents(F.lower(F.coalesce(text, F.lit(""))), "NFKD")
-    words = F.filter(F.split(folded, r"\s+"), lambda w: w != "")
+    spaced = F.concat(F.lit(" "), F.regexp_replace(folded, r"\s+", "  "), F.lit(" "))
 
-    def grams(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        size = F.length(padded)
-        lengths = F.sequence(F.lit(low), F.greatest(F.lit(low), F.least(F.lit(high), size)))
-        return F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(padded, i, n))))
+    def grams(n: int) -> Column:
+        """Looks ahead at every place, so grams overlap; a space is a gram's first or last character only."""
+        inside = f"{{1,{n - 2}}}" if n == low else f"{{{n - 2}}}"
+        return F.regexp_extract_all(spaced, F.lit(f"(?s)(?=([^ ]{{{n}}}| [^ ]{{{n - 1}}}|[^ ]{{{n - 1}}} | [^ ]{inside} ))."), F.lit(1))
 
-    return F.flatten(F.transform(words, grams))
+    return F.concat(*[grams(n) for n in range(low, high + 1)])
 
 
 def observation_note(note: Column, suffix: str) -> Column:

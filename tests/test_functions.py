@@ -1,5 +1,7 @@
 """Literal cases of the scalar functions."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,17 @@ def test_fees(spark):
 def test_words_and_grams(spark):
     assert sorted(values(spark, ["via oral con biopsia de colon colon"], T.content_words)[0]) == ["biopsia", "colon", "colon"]
     assert values(spark, ["ab", "a", None], T.char_ngrams) == [[" ab", "ab ", " ab "], [" a "], []]
+    assert values(spark, ["a", "a\U0001d7d8b\t c"], lambda t: T.char_ngrams(t, 4, 4)) == [[" a "], [" a0b", "a0b ", " c "]]
+
+
+def test_grams_are_those_of_every_padded_word(spark):
+    texts = ["  uno dos  tres ", "x", "\u00c1rbol caf\u00e9\n\ty z", "\U0001f600\U0001f600 a\U0001f600b", "a\u00a0b", ""]
+    expected = []
+    for t in texts:
+        t = "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
+        words = [f" {w} " for w in t.split()]
+        expected.append(sorted(w[i : i + n] for w in words for n in (3, 4, 5) for i in range(len(w) - n + 1)))
+    assert [sorted(g) for g in values(spark, texts, T.char_ngrams)] == expected
 
 
 def test_time_summary_and_class(spark):
