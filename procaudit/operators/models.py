@@ -222,21 +222,32 @@ def multilabel_predict(scores: DataFrame, threshold: float = 0.5, min_labels: in
     return min_labels_topup(scores, F.lit(threshold), min_labels).where("selected").select("id", "codigo", F.round("prob", 4).alias("score"))
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """As many partitions as shuffles have: making grams outweighs the bytes by which small inputs are merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def value_model_fit(rows: DataFrame, value: str, max_features: int = 100_000, c: float = 1.0, min_df: int = 2):
-    """A single-label TF-IDF + logistic pipeline on (text, value); returns a function that adds ``y_pred``."""
-    grams = rows.withColumn("grams", char_ngrams(F.col("text")))
+    """A single-label TF-IDF + logistic pipeline on (text, value); returns a function that adds ``y_pred``.
+
+    The grams are made once and kept while the vocabulary is counted, the rows as features while the model is fitted;
+    all rows are used."""
+    grams = _kept(_spread(rows.select(value, "text"), "text").select(value, char_ngrams(F.col("text")).alias("grams")))
     labels = StringIndexer(inputCol=value, outputCol="label", stringOrderType="alphabetAsc").fit(grams)
     counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max_features, minDF=float(min_df)).fit(grams)
-    idf = IDF(inputCol="tf", outputCol="tfidf").fit(counts.transform(grams))
+    counted = _kept(labels.transform(counts.transform(grams)).select(value, "label", "tf"))
+    idf = IDF(inputCol="tf", outputCol="tfidf").fit(counted)
+    grams.unpersist()
     norm = Normalizer(inputCol="tfidf", outputCol="features")
-    ready = labels.transform(norm.transform(idf.transform(counts.transform(grams))))
-    n, k = ready.count(), len(labels.labels)
-    weights = ready.groupBy("label").agg((F.lit(float(n)) / (k * F.count("*"))).alias("weight"))
-    model = LogisticRegression(weightCol="weight", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=50).fit(ready.join(F.broadcast(weights), "label"))
+    n, k = counted.count(), len(labels.labels)
+    weights = counted.groupBy("label").agg((F.lit(float(n)) / (k * F.count("*"))).alias("weight"))  # a row a class
+    ready = norm.transform(idf.transform(counted)).join(F.broadcast(weights), "label").select("label", "features", "weight")
+    model = LogisticRegression(weightCol="weight", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=50).fit(ready)
+    counted.unpersist()
     names = F.array(*map(F.lit, labels.labels))
 
     def predict(df: DataFrame) -> DataFrame:
-        scored = model.transform(norm.transform(idf.transform(counts.transform(df.withColumn("grams", char_ngrams(F.col("text")))))))
+        scored = model.transform(norm.transform(idf.transform(counts.transform(_spread(df).withColumn("grams", char_ngrams(F.col("text")))))))
         return scored.withColumn("y_pred", F.element_at(names, (F.col("prediction") + 1).cast("int"))).drop("grams", "tf", "tfidf", "features", "rawPrediction", "probability", "prediction")
 
     return predict
