@@ -15,6 +15,7 @@ from procaudit.functions.values import time_summary
 from procaudit.operators.evaluation import METRICS, THRESHOLDS, actual_vs_predicted, min_labels_topup, multilabel_metrics, select_best, threshold_sweep
 from procaudit.operators.history import code_default_lookup
 from procaudit.operators.tfidf import gram_counts, tfidf_transform
+from procaudit.sources.tables import saved
 
 
 def _fit_code(c: float, rounds: int):
@@ -67,6 +68,8 @@ def _kept(df: DataFrame) -> DataFrame:
 
 #: Codes that one task fits together, and distinct texts up to which it works on their products with each other.
 CODE_BLOCK, DENSE_TEXTS = 64, 4096
+#: Distinct training texts that a grid is fitted on, and held texts that one task scores.
+FIT_TEXTS, HELD_TEXTS = 2048, 2048
 
 
 class _Rows:
@@ -99,18 +102,41 @@ class _Rows:
         return self._product(self.backward, m, self.width)
 
 
-def fit_columns(rows: _Rows, copies: np.ndarray, positives: np.ndarray, c: np.ndarray, tol: float = 1e-5, rounds: int = 20_000) -> np.ndarray:
+def products(a: _Rows, b: _Rows) -> np.ndarray:
+    """The products of every row of ``a`` with every row of ``b``: columns of many rows as dense pieces, others one by one."""
+    out = np.zeros((a.n, b.n), np.float32)
+    (a_col, a_row, a_x), (b_col, b_row, b_x) = a.backward, b.backward
+    ends = lambda col: np.searchsorted(col, np.arange(a.width + 1))
+    at_a, at_b = ends(a_col), ends(b_col)
+    size_a, size_b = np.diff(at_a), np.diff(at_b)
+    both = (size_a > 0) & (size_b > 0)
+    wide = both & (size_a * size_b > a.n * b.n / 64)
+    for k in np.flatnonzero(both & ~wide):
+        i, j = slice(at_a[k], at_a[k + 1]), slice(at_b[k], at_b[k + 1])
+        out[np.ix_(a_row[i], b_row[j])] += (a_x[i, None] * b_x[j]).astype(np.float32)
+    dense = np.flatnonzero(wide)
+    for p in range(0, len(dense), 1024):
+        left, right = np.zeros((a.n, len(dense[p : p + 1024])), np.float32), np.zeros((b.n, len(dense[p : p + 1024])), np.float32)
+        for to, k in enumerate(dense[p : p + 1024]):
+            left[a_row[at_a[k] : at_a[k + 1]], to] = a_x[at_a[k] : at_a[k + 1]]
+            right[b_row[at_b[k] : at_b[k + 1]], to] = b_x[at_b[k] : at_b[k + 1]]
+        out += left @ right.T
+    return out
+
+
+def fit_columns(rows: _Rows, copies: np.ndarray, positives: np.ndarray, c: np.ndarray, tol: float = 1e-5, rounds: int = 20_000, gram: np.ndarray | None = None) -> np.ndarray:
     """Coefficients (grams and intercept by columns) of balanced L2 logistic models, each to its minimum, by
     accelerated gradient steps with restarts. ``positives`` (texts by columns) counts a text's ``copies`` of label 1,
-    ``c`` is each column's C. Of few texts the steps run on the combination of texts that the coefficients are."""
-    dense = rows.n <= DENSE_TEXTS
+    ``c`` is each column's C. Of few texts the steps run on the combination of texts that the coefficients are; with their
+    products ``gram`` given, that combination (texts by columns) is the result."""
+    dense = gram is not None or rows.n <= DENSE_TEXTS
+    combined = gram is not None
     n, pos = copies.sum(), positives.sum(axis=0)
     negatives = copies[:, None] - positives
     up, down = positives * (1 / (2 * pos)), negatives * (1 / (2 * (n - pos)))
     penalty = 1 / (c * n)
     step = 1 / (0.5 + penalty)
-    gram = None
-    if dense:
+    if dense and gram is None:
         eye = np.eye(rows.n)
         gram = np.concatenate([rows.times(rows.transposed(eye[:, a : a + 256])) for a in range(0, rows.n, 256)], axis=1)
     at = np.zeros((rows.n if dense else rows.width, len(c)))
@@ -137,70 +163,96 @@ def fit_columns(rows: _Rows, copies: np.ndarray, positives: np.ndarray, c: np.nd
             if not len(live):
                 break
     done[:, live] = at
-    return rows.transposed(done) if dense else done
+    return rows.transposed(done) if dense and not combined else done
 
 
-def _grid_block(cs: tuple[float, ...], least: float, top: int, width: int):
+def _fitted_block(cs: tuple[float, ...], width: int):
     def block(texts: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
-        names = ["c", "text_id", "codigo", "prob"]
-        train, held = texts[texts["copies"] > 0].sort_values("text_id"), texts[texts["held"]]
-        codes = np.sort(labels["codigo"].unique())
-        if not len(codes) or held.empty:
-            return pd.DataFrame({n: [] for n in names}).astype({"c": float, "text_id": "int64", "codigo": str, "prob": float})
+        """Of every code the bytes of its combination of the texts for each C; of one that all or none have, one number."""
+        train, codes = texts.sort_values("text_id"), np.sort(labels["codigo"].unique())
         copies, positives = train["copies"].to_numpy(np.float64), np.zeros((len(train), len(codes)))
         known = labels[labels["label_copies"] > 0]
         np.add.at(positives, (np.searchsorted(train["text_id"].to_numpy(), known["label_of"].to_numpy()), np.searchsorted(codes, known["codigo"].to_numpy())), known["label_copies"].to_numpy(np.float64))
         pos = positives.sum(axis=0)
+        out = [np.float32(50 if p > 0 else -50).tobytes() for p in pos]
         fitted = np.flatnonzero((pos > 0) & (pos < copies.sum()))
-        test = _Rows(held["idx"].tolist(), held["weights"].tolist(), width)
-        z = np.repeat(np.where(pos > 0, 50.0, -50.0)[None, :, None], len(held), axis=0).repeat(len(cs), axis=2)
         if len(fitted):
             rows = _Rows(train["idx"].tolist(), train["weights"].tolist(), width)
-            w = fit_columns(rows, copies, np.repeat(positives[:, fitted], len(cs), axis=1), np.tile(cs, len(fitted)))
-            z[:, fitted] = test.times(w).reshape(len(held), len(fitted), len(cs))
-        prob = 1 / (1 + np.exp(-z))
-        best = np.argsort(-prob, axis=1, kind="stable")[:, :top]
-        use = prob >= least
-        np.put_along_axis(use, best, True, axis=1)
-        t, k, c = np.nonzero(use)
-        return pd.DataFrame({"c": np.array(cs)[c], "text_id": held["text_id"].to_numpy()[t], "codigo": codes[k], "prob": prob[t, k, c]})
+            a = fit_columns(rows, copies, np.repeat(positives[:, fitted], len(cs), axis=1), np.tile(cs, len(fitted)), 1e-3, gram=products(rows, rows).astype(np.float64))
+            for k, code in enumerate(fitted):
+                out[code] = np.ascontiguousarray(a[:, k * len(cs) : (k + 1) * len(cs)], np.float32).tobytes()
+        return pd.DataFrame({"codigo": codes, "coef": out})
 
     return block
 
 
-def multilabel_grid(rows: DataFrame, cs: tuple[float, ...] = (0.5, 1.0, 2.0), thresholds: tuple[float, ...] = THRESHOLDS, min_labels: int = 1, metric: str = "avg_dice", min_df: int = 2, max_features: int = 250_000) -> DataFrame:
-    """(part, c, threshold, selected, the 11 figures): every C and threshold on the validation rows, and the best of
-    them on the test rows. ``rows`` (id, text, codigos, part) with distinct ids.
-
-    Every code of the rows gets a model for each C, fitted on all training rows; equal texts are one row with a
-    count, which changes no figure. A task fits CODE_BLOCK codes and holds the distinct texts' vectors. Probabilities
-    under the least threshold go unless they may be a row's ``min_labels`` best. Of equal figures the first in order
-    wins, and another C only by a larger ``metric``."""
-    spark = rows.sparkSession
-    texts = _kept(rows.groupBy("text").agg(F.count_if(F.col("part") == "train").alias("copies"), (F.count_if(F.col("part") != "train") > 0).alias("held")).withColumn("text_id", F.xxhash64("text")))
-    named = _kept(rows.join(texts.select("text", "text_id"), "text").select("id", "part", "text_id", "codigos"))
-    train = named.where("part = 'train'")
-    counts = gram_counts(texts, "text_id")
+def _scored_block(cs: tuple[float, ...], least: float, top: int, width: int):
+    def block(texts: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        train, held, found = texts[texts["side"] == 0].sort_values("text_id"), texts[texts["side"] == 1], []
+        if len(held) and len(train):
+            near = products(*(_Rows(t["idx"].tolist(), t["weights"].tolist(), width) for t in (held, train)))
+        for at in range(0, len(models) if len(held) else 0, CODE_BLOCK):
+            part = models.iloc[at : at + CODE_BLOCK]
+            z = np.empty((len(held), len(part), len(cs)), np.float32)
+            for k, coef in enumerate(part["coef"]):
+                w = np.frombuffer(coef, np.float32)
+                z[:, k] = w[0] if len(w) == 1 else near @ w.reshape(len(train), len(cs))
+            prob = 1 / (1 + np.exp(-z.astype(np.float64)))
+            use = prob >= least
+            np.put_along_axis(use, np.argsort(-prob, axis=1, kind="stable")[:, :top], True, axis=1)
+            t, k, c = np.nonzero(use)
+            found.append(pd.DataFrame({"c": np.array(cs)[c], "text_id": held["text_id"].to_numpy()[t], "codigo": part["codigo"].to_numpy()[k], "prob": prob[t, k, c]}))
+        return pd.concat(found) if found else pd.DataFrame({"c": np.zeros(0), "text_id": np.zeros(0, np.int64), "codigo": np.zeros(0, object), "prob": np.zeros(0)})
+
+    return block
+
+
+def grid_scores(rows: DataFrame, cs: tuple[float, ...], least: float, min_labels: int = 1, min_df: int = 2, max_features: int = 250_000, fit_texts: int = FIT_TEXTS) -> tuple[DataFrame, DataFrame]:
+    """Scores (c, text_id, codigo, prob) of the texts outside the training part, and (id, part, text_id, codigos).
+
+    Vocabulary and inverse frequencies are those of all training rows. Every code gets a model for each C, fitted on
+    ``fit_texts`` distinct training texts at most, those of the least hashes; equal texts are one row with a count.
+    A task fits CODE_BLOCK codes on the products of these texts with each other; another scores about HELD_TEXTS held
+    texts by every model, 4 bytes a code, C and fitted text. A code without rows among the fitted texts scores 0.
+    Probabilities under ``least`` go unless they may be a text's ``min_labels`` best."""
+    spark, rows = rows.sparkSession, saved(rows, "rows")
+    texts = saved(rows.groupBy("text").agg(F.count_if(F.col("part") == "train").alias("copies"), (F.count_if(F.col("part") != "train") > 0).alias("held")).withColumn("text_id", F.xxhash64("text")), "texts")
+    named = saved(rows.join(texts.select("text", "text_id"), "text").select("id", "part", "text_id", "codigos"), "named")
+    counts = saved(gram_counts(_spread(texts, "text_id"), "text_id"), "counts")
     seen = counts.join(texts.where("copies > 0").select("text_id", "copies"), "text_id")
     grams = seen.groupBy("gram").agg(F.sum("copies").alias("df"), F.sum(F.col("n") * F.col("copies")).alias("total")).where(F.col("df") >= min_df).orderBy(F.desc("total"), "gram").limit(max_features)
-    numbered = _kept(grams.withColumn("idf", F.log((1.0 + train.count()) / (1.0 + F.col("df"))) + 1.0).withColumn("idx", F.row_number().over(Window.orderBy("gram")) - 1))
+    numbered = saved(grams.withColumn("idf", F.log((1.0 + named.where("part = 'train'").count()) / (1.0 + F.col("df"))) + 1.0).withColumn("idx", F.row_number().over(Window.orderBy("gram")) - 1), "numbered")
     vectors = tfidf_transform(counts, numbered, "text_id").join(F.broadcast(numbered.select("gram", "idx")), "gram")
     packed = vectors.groupBy("text_id").agg(F.collect_list("idx").alias("idx"), F.collect_list("weight").alias("weights"))
     none = lambda t: F.array().cast(f"array<{t}>")
-    packed = texts.select("text_id", "copies", "held").join(packed, "text_id", "left").withColumns({"idx": F.coalesce("idx", none("int")), "weights": F.coalesce("weights", none("double"))})
-    labels = named.select(F.col("text_id").alias("label_of"), (F.col("part") == "train").cast("long").alias("t"), F.explode(F.array_distinct("codigos")).alias("codigo")).groupBy("label_of", "codigo").agg(F.sum("t").alias("label_copies"))
+    packed = saved(texts.select("text_id", "copies", "held").join(packed, "text_id", "left").withColumns({"idx": F.coalesce("idx", none("int")), "weights": F.coalesce("weights", none("double"))}), "packed")
+    train = saved(packed.where("copies > 0").orderBy("text_id").limit(fit_texts), "train")
+    known = named.where("part = 'train'").join(F.broadcast(train.select("text_id")), "text_id").select(F.col("text_id").alias("label_of"), F.explode(F.array_distinct("codigos")).alias("codigo"))
     codes = named.select(F.explode("codigos").alias("codigo")).distinct()
-    blocks = -(-codes.count() // CODE_BLOCK)
-    left = packed.crossJoin(F.broadcast(spark.range(blocks).withColumnRenamed("id", "block"))).repartition(blocks, "block") if blocks else packed.withColumn("block", F.lit(0).cast("long"))
-    right = labels.withColumn("label_block", F.pmod(F.xxhash64("codigo"), F.lit(max(blocks, 1)).cast("long")))
-    found = left.groupBy("block").cogroup(right.groupBy("label_block")).applyInPandas(_grid_block(cs, min(thresholds), min_labels, numbered.count()), "c double, text_id long, codigo string, prob double")
-    scores = _kept(found)
+    labels = codes.join(known.groupBy("label_of", "codigo").agg(F.count("*").alias("label_copies")), "codigo", "left").na.fill(0, ["label_copies"])
+    blocks, parts = max(-(-codes.count() // CODE_BLOCK), 1), max(-(-packed.where("held").count() // HELD_TEXTS), 1)
+    left = train.crossJoin(F.broadcast(spark.range(blocks).withColumnRenamed("id", "block"))).repartition(blocks, "block")
+    right = labels.withColumn("label_block", F.pmod(F.xxhash64("codigo"), F.lit(blocks).cast("long")))
+    width = numbered.count()
+    models = saved(left.groupBy("block").cogroup(right.groupBy("label_block")).applyInPandas(_fitted_block(cs, width), "codigo string, coef binary").where("codigo is not null"), "models")
+    every = F.broadcast(spark.range(parts).withColumnRenamed("id", "part"))
+    asked = packed.where("held").select("text_id", "idx", "weights", F.lit(1).alias("side"), F.pmod(F.xxhash64("text_id"), F.lit(parts).cast("long")).alias("part"))
+    sides = asked.unionByName(train.select("text_id", "idx", "weights", F.lit(0).alias("side")).crossJoin(every)).repartition(parts, "part")
+    found = sides.groupBy("part").cogroup(models.crossJoin(every).groupBy("part")).applyInPandas(_scored_block(cs, least, min_labels, width), "c double, text_id long, codigo string, prob double")
+    return saved(found, "scores"), named
+
+
+def multilabel_grid(rows: DataFrame, cs: tuple[float, ...] = (0.5, 1.0, 2.0), thresholds: tuple[float, ...] = THRESHOLDS, min_labels: int = 1, metric: str = "avg_dice", min_df: int = 2, max_features: int = 250_000, fit_texts: int = FIT_TEXTS) -> DataFrame:
+    """(part, c, threshold, selected, the 11 figures): every C and threshold on the validation rows, and the best of
+    them on the test rows. ``rows`` (id, text, codigos, part) with distinct ids; the fit is that of ``grid_scores``.
+    Of equal figures the first in order wins, and another C only by a larger ``metric``."""
+    scores, named = grid_scores(rows, cs, min(thresholds), min_labels, min_df, max_features, fit_texts)
     actual = named.select("id", "part", F.explode("codigos").alias("codigo"))
     of_part = lambda name, c: scores.where(F.col("c") == c).join(named.where(F.col("part") == name).select("id", "text_id"), "text_id").select("id", "codigo", "prob")
     grid, best = [], None
     for c in cs:
         swept = threshold_sweep(of_part("validation", c), actual.where("part = 'validation'"), thresholds, min_labels).withColumn("c", F.lit(c))
-        swept = _kept(swept)
+        swept = saved(swept, "swept")
         mine = select_best(swept, metric, "threshold").first()
         if mine and (best is None or mine[metric] > best[metric]):
             best = mine

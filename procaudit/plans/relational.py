@@ -210,13 +210,10 @@ def ordered_limit(spark, sf_dir):
 @query(f"WITH {FEES} SELECT *, (SELECT count(*) FROM fees) AS training_rows FROM ({_majority('fees', 'porcentaje_norm')})", "audit_detail")
 def write_model(spark, sf_dir):
     """The fee majority model written to the shared folder and read back."""
-    import tempfile
-    import uuid
-
+    from procaudit.sources.tables import scratch_path
     from procaudit.sources.tables import write_model as write
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-model-")
     rows = H.fee_training_set(detail(spark, sf_dir))
-    write(path := f"{base}/model-{uuid.uuid4().hex}", "porcentaje", rows.count(), {"by_code": H.majority_by_code(rows, "porcentaje_norm")})
+    write(path := scratch_path(spark, "model"), "porcentaje", rows.count(), {"by_code": H.majority_by_code(rows, "porcentaje_norm")})
     meta = spark.read.parquet(f"{path}/metadata").select("training_rows")
     return spark.read.parquet(f"{path}/by_code").crossJoin(F.broadcast(meta))

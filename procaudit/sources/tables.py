@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,22 @@ def apply_updates(target: DataFrame, updates: DataFrame, path: str | None = None
     if path is not None:
         out.write.partitionBy("mes_plano").parquet(path)
     return out
+
+
+_unset: dict[str, str] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; where none is set (tests), in one of our own."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        base = _unset.get(context.applicationId) or _unset.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back: later steps neither compute nor plan it again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -199,3 +199,35 @@ def test_filters_meet_without_products(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     pairs = H.optional_filters(requests, history).groupBy("r_id").count().collect()
     assert {tuple(x) for x in pairs} == {(r, n) for r, n, _ in expected}
+
+
+def test_products_are_those_of_dense_rows():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+
+    def rows(n):
+        idx = [sorted(rng.choice(300, k, replace=False).tolist()) for k in rng.integers(0, 40, n)]
+        return L._Rows(idx, [rng.random(len(i)).tolist() for i in idx], 300), idx
+
+    def full(r):
+        row, col, x = r.forward
+        out = np.zeros((r.n, r.width))
+        out[row, col] = x
+        return out
+
+    (a, _), (b, _) = rows(40), rows(25)
+    assert np.allclose(L.products(a, b), full(a) @ full(b).T, rtol=1e-5)
+
+
+def test_grid_of_a_bounded_fit_and_of_held_blocks(spark, monkeypatch):
+    """One fitted text leaves the other codes at 0; held texts in several blocks score as in one."""
+    rows = [(f"{i}:{r}", f"word{'abc'[i] * 4} n{r}", [f"c{i}"], "test" if r < 3 else "train") for i in range(3) for r in range(8)]
+    data = spark.createDataFrame(rows, "id string, text string, codigos array<string>, part string")
+    one, _ = L.grid_scores(data, (1.0,), 0.0)
+    monkeypatch.setattr(L, "HELD_TEXTS", 2)
+    many, _ = L.grid_scores(data, (1.0,), 0.0)
+    key = lambda df: sorted((r["text_id"], r["codigo"], round(r["prob"], 4)) for r in df.collect())
+    assert key(one) == key(many) and one.count() == 27
+    few, _ = L.grid_scores(data, (1.0,), 0.0, fit_texts=1)
+    assert few.where("prob > 0.5").select("codigo").distinct().count() == 1
