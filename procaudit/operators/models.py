@@ -10,7 +10,7 @@ from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StringIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from procaudit.functions.text import char_ngrams, observation_note
+from procaudit.functions.text import char_ngrams, code_text, observation_note
 from procaudit.functions.values import time_summary
 from procaudit.operators.evaluation import METRICS, THRESHOLDS, actual_vs_predicted, min_labels_topup, multilabel_metrics, select_best, threshold_sweep
 from procaudit.operators.history import code_default_lookup
@@ -311,7 +311,12 @@ def apply_values(predicted: DataFrame, by_code: DataFrame | None, default: str |
     return code_default_lookup(rows, by_code, default, last) if by_code is not None else rows.withColumn("value", F.lit(last))
 
 
-def fees_per_request(values: DataFrame, ids: DataFrame, note: str = "", suffix: str = "; honorarios sugeridos por modelo historico.") -> DataFrame:
+# Notes of the results.
+FEE_NOTE = "; honorarios sugeridos por modelo historico."
+TIME_NOTE = "; tiempos de anestesia sugeridos por modelo historico."
+
+
+def fees_per_request(values: DataFrame, ids: DataFrame, note: str = "", suffix: str = FEE_NOTE) -> DataFrame:
     """(id, honorario, observacion): the fee string in code order, empty without codes."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "codigo_norm", "value"))), lambda p: F.concat(p["codigo_norm"], F.lit("("), p["value"], F.lit(")"))), ",")
     out = ids.select("id").join(values.groupBy("id").agg(text.alias("honorario")), "id", "left")
@@ -343,13 +348,37 @@ def template_support(requests: DataFrame, matches: DataFrame, note: str, min_sim
     return out.select("q_id", F.coalesce("plantillas", F.lit("")).alias("plantillas"), F.when(F.col("plantillas").isNull(), F.lit(note)).otherwise(text).alias("observacion"))
 
 
-def predict_batch(requests: DataFrame, selected: DataFrame, matches: DataFrame, fees: DataFrame | None, times: DataFrame | None, note: str = "Codigos propuestos; validar antes de guardar.") -> DataFrame:
+def fitted_values(predicted: DataFrame, requests: DataFrame, predict, last: str) -> DataFrame:
+    """``predicted`` with ``value`` by a model that ``value_model_fit`` returned, from the request's text (id, text) and
+    the code; ``last`` where the model gives none. Rows without a code go; a request without text has the code alone."""
+    rows = predicted.where("codigo_norm <> ''").join(requests.select("id", F.col("text").alias("request")), "id", "left")
+    valued = predict(rows.withColumn("text", code_text(F.col("request"), F.col("codigo_norm"))))
+    return valued.withColumn("value", F.coalesce("y_pred", F.lit(last))).select(*predicted.columns, "value")
+
+
+def predict_batch(requests: DataFrame, selected: DataFrame, matches: DataFrame, fees, times, note: str = "Codigos propuestos; validar antes de guardar.") -> DataFrame:
     """A row a request (id, text): its codes in order of score, templates, fees and time; a request without text or
-    codes gets a status instead."""
+    codes gets a status instead. ``fees`` and ``times`` are each a table by code, a function that ``value_model_fit``
+    returned, or None; where one is given, the note of a request with codes says so."""
     placed = ordered_codes(selected).withColumnRenamed("codigo", "codigo_norm")
     codes = placed.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "codigo_norm"))), lambda p: p["codigo_norm"]), ",").alias("codigos"))
     ids = requests.select("id")
-    out = requests.join(codes, "id", "left").join(fees_per_request(apply_values(placed, fees, None, "100"), ids, note).drop("observacion"), "id").join(times_per_request(apply_values(placed, times, None, "0"), ids), "id")
+
+    def valued(by, last: str) -> DataFrame:
+        return fitted_values(placed, requests, by, last) if callable(by) else apply_values(placed, by, None, last)
+
+    out = requests.join(codes, "id", "left").join(fees_per_request(valued(fees, "100"), ids, note).drop("observacion"), "id").join(times_per_request(valued(times, "0"), ids), "id")
     support = template_support(ids.withColumnRenamed("id", "q_id"), matches, note).withColumnRenamed("q_id", "id")
     status = F.when(F.trim("text") == "", "no_text").when(F.col("codigos").isNull(), "no_codes").otherwise("ok")
-    return out.join(support, "id").select("id", status.alias("status"), F.coalesce("codigos", F.lit("")).alias("codigos"), "honorario", "tiempo_anestesia", "plantillas", "observacion")
+    said = F.col("observacion")
+    for given, suffix in ((fees, FEE_NOTE), (times, TIME_NOTE)):
+        said = said if given is None else F.when(F.col("honorario") == "", said).otherwise(observation_note(said, suffix))
+    return out.join(support, "id").select("id", status.alias("status"), F.coalesce("codigos", F.lit("")).alias("codigos"), "honorario", "tiempo_anestesia", "plantillas", said.alias("observacion"))
+
+
+def predict_from_history(matched: DataFrame, note: str = "Propuesta generada por IA; validar antes de guardar.") -> DataFrame:
+    """The rows of ``match_history`` in the columns of ``predict_batch``, for requests where no model of codes exists:
+    codes, fees and time of the matched group, none and no note where no group is alike enough."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    said = F.when(F.col("status") == "ok", note).otherwise("")
+    return matched.select(F.col("id_agenda").alias("id"), "status", text(F.array_join("codigos", ",")).alias("codigos"), text(F.col("honorario")).alias("honorario"), text(F.col("tiempo_anestesia")).alias("tiempo_anestesia"), F.lit("").alias("plantillas"), said.alias("observacion"))

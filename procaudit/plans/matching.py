@@ -289,7 +289,8 @@ PREDICTED = f"""{SEARCH}, {LABELS}, {FEES}, {TIMES}, fm AS ({_majority('fees', '
 
 
 @query(f"""WITH {PREDICTED} SELECT q.id, CASE WHEN trim(q.txt) = '' THEN 'no_text' WHEN codigos IS NULL THEN 'no_codes' ELSE 'ok' END AS status, coalesce(codigos, '') AS codigos, coalesce(honorario, '') AS honorario,
- CASE WHEN m IS NULL THEN '' ELSE {R.two_places('m')} END AS tiempo_anestesia, coalesce(p, '') AS plantillas, CASE WHEN p IS NULL THEN 'Codigos propuestos; validar antes de guardar.' ELSE 'Codigos propuestos; validar antes de guardar; {SUPPORT}' END AS observacion
+ CASE WHEN m IS NULL THEN '' ELSE {R.two_places('m')} END AS tiempo_anestesia, coalesce(p, '') AS plantillas,
+ 'Codigos propuestos; validar antes de guardar' || CASE WHEN p IS NULL THEN '' ELSE '; {SUPPORT[:-1]}' END || CASE WHEN codigos IS NULL THEN '' ELSE '; honorarios sugeridos por modelo historico; tiempos de anestesia sugeridos por modelo historico' END || '.' AS observacion
  FROM q LEFT JOIN po ON po.id = q.id LEFT JOIN near ON near.q_id = q.id""", "audit_detail", *SEARCHED)
 def predict_batch(spark, sf_dir):
     """Codes of each request stand for a model's: those its visit was audited with, of equal score."""
