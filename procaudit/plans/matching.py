@@ -89,13 +89,28 @@ def best_candidate(spark, sf_dir):
     return M.best_candidate(scored).withColumn("score", F.round("score", 4))
 
 
-@query(f"""WITH {GROUPS}, {POOLED}, {SCORED}, o AS (SELECT s.id_agenda, s.procedimiento_sistema, b.score, {R.codes("coalesce(nullif(codigo_grupo_auditor, ''), codigos)")} AS cs, tiempo_anestesia, coalesce(nullif(nombre_procedimiento, ''), nullif(procedimiento_auditor, ''), procedimiento_sistema, '') AS nombre
- FROM solicitudes s LEFT JOIN best b ON b.r_id = s.id_agenda LEFT JOIN g USING (group_id))
- SELECT id_agenda, CASE WHEN score IS NULL THEN 'no_history' WHEN score >= 0.2 THEN 'ok' ELSE 'too_dissimilar' END AS status, round(score, 4) AS score, CASE WHEN score >= 0.2 THEN array_to_string(cs, ',') END AS codigos,
- CASE WHEN score >= 0.2 THEN coalesce(tiempo_anestesia, '') END AS tiempo_anestesia, CASE WHEN score >= 0.2 THEN nombre END AS nombre_procedimiento FROM o""", *MATCHED)
+MATCH = f"""{GROUPS}, {POOLED}, {SCORED}, o AS MATERIALIZED (SELECT s.id_agenda, s.procedimiento_sistema, b.score, {R.codes("coalesce(nullif(codigo_grupo_auditor, ''), codigos)")} AS cs, coalesce(honorario_auditor, '') AS fees, tiempo_anestesia, coalesce(nullif(nombre_procedimiento, ''), nullif(procedimiento_auditor, ''), procedimiento_sistema, '') AS nombre
+ FROM solicitudes s LEFT JOIN best b ON b.r_id = s.id_agenda LEFT JOIN g USING (group_id)),
+ op AS (SELECT id_agenda, regexp_extract_all(fees, '([^(),+]+)\\(([^()]*)\\)', 1) AS ks, regexp_extract_all(fees, '([^(),+]+)\\(([^()]*)\\)', 2) AS vs FROM o WHERE score >= 0.2),
+ oe AS (SELECT id_agenda, {R.strip('k')} AS codigo, {R.strip('v')} AS v, i FROM (SELECT id_agenda, unnest(ks) AS k, unnest(vs) AS v, unnest(range(len(ks))) AS i FROM op)),
+ ov AS (SELECT id_agenda, codigo, max_by(v, i) AS valor FROM oe WHERE codigo <> '' AND v <> '' GROUP BY ALL),
+ oc AS (SELECT id_agenda, unnest(cs) AS codigo, unnest(range(len(cs))) AS i FROM o WHERE score >= 0.2),
+ oh AS (SELECT id_agenda, string_agg(codigo || '(' || coalesce(valor, '100') || ')', ',' ORDER BY i) AS paid FROM oc LEFT JOIN ov USING (id_agenda, codigo) GROUP BY id_agenda),
+ mh AS (SELECT id_agenda, CASE WHEN score IS NULL THEN 'no_history' WHEN score >= 0.2 THEN 'ok' ELSE 'too_dissimilar' END AS status, round(score, 4) AS score, CASE WHEN score >= 0.2 THEN array_to_string(cs, ',') END AS codigos, CASE WHEN score >= 0.2 THEN coalesce(paid, '') END AS honorario,
+ CASE WHEN score >= 0.2 THEN coalesce(tiempo_anestesia, '') END AS tiempo_anestesia, CASE WHEN score >= 0.2 THEN nombre END AS nombre_procedimiento FROM o LEFT JOIN oh USING (id_agenda))"""
+
+
+@query(f"WITH {MATCH} SELECT * FROM mh", *MATCHED)
 def match_history(spark, sf_dir):
     out = M.match_history(*both(spark, sf_dir))
-    return out.select("id_agenda", "status", F.round("score", 4).alias("score"), F.array_join("codigos", ",").alias("codigos"), "tiempo_anestesia", "nombre_procedimiento")
+    return out.select("id_agenda", "status", F.round("score", 4).alias("score"), F.array_join("codigos", ",").alias("codigos"), "honorario", "tiempo_anestesia", "nombre_procedimiento")
+
+
+@query(f"""WITH {MATCH} SELECT id_agenda AS id, status, coalesce(codigos, '') AS codigos, coalesce(honorario, '') AS honorario, coalesce(tiempo_anestesia, '') AS tiempo_anestesia, '' AS plantillas,
+ CASE WHEN status = 'ok' THEN 'Propuesta generada por IA; validar antes de guardar.' ELSE '' END AS observacion FROM mh""", *MATCHED)
+def predict_from_history(spark, sf_dir):
+    """The prediction of every request where no model of codes exists."""
+    return L.predict_from_history(M.match_history(*both(spark, sf_dir)))
 
 
 REQ = f"q AS (SELECT id_agenda AS id, {R.strip(R.joined('procedimiento_sistema', 'hallazgos_conclusion', 'descripcion_estudio_013'))} AS txt FROM solicitudes)"

@@ -231,3 +231,26 @@ def test_grid_of_a_bounded_fit_and_of_held_blocks(spark, monkeypatch):
     assert key(one) == key(many) and one.count() == 27
     few, _ = L.grid_scores(data, (1.0,), 0.0, fit_texts=1)
     assert few.where("prob > 0.5").select("codigo").distinct().count() == 1
+
+
+def test_predict_batch_by_fitted_models(spark):
+    """Fees by a model of text and code, by a table, or fixed; notes only where there are codes and something given."""
+    train = spark.createDataFrame([(f"CODIGO_{c} estudio {i % 5}", v) for i in range(20) for c, v in (("10", "100"), ("20", "50"))], "text string, v string")
+    fee = L.value_model_fit(train, "v", c=100.0)
+    requests = spark.createDataFrame([(1, "estudio 3"), (2, " "), (3, "estudio 1"), (4, None)], "id int, text string")
+    selected = spark.createDataFrame([(1, "20", 0.9), (1, "10", 0.8), (4, "20", 0.7)], "id int, codigo string, score double")
+    matches = spark.createDataFrame([(1, "p7", 0.5, 1), (3, "p8", 0.1, 1)], "q_id int, id string, score double, place int")
+    times = spark.createDataFrame([("10", "1.5")], "codigo_norm string, value string")
+    got = {r["id"]: r.asDict() for r in L.predict_batch(requests, selected, matches, fee, times, "Nota.").collect()}
+    assert len(got) == 4 and got[1]["codigos"] == "20,10" and got[1]["honorario"] == "20(50),10(100)" and got[1]["tiempo_anestesia"] == "1.5"
+    assert got[1]["plantillas"] == "p7" and got[1]["observacion"].startswith("Nota; plantillas") and "; honorarios" in got[1]["observacion"] and got[1]["observacion"].endswith("; tiempos de anestesia sugeridos por modelo historico.")
+    assert got[2]["status"] == "no_text" and got[3]["status"] == "no_codes" and got[2]["observacion"] == got[3]["observacion"] == "Nota." and got[3]["honorario"] == ""
+    assert got[4]["honorario"] == "20(50)" and got[4]["tiempo_anestesia"] == "0"
+    bare = {r["id"]: r.asDict() for r in L.predict_batch(requests, selected, matches, None, None, "Nota.").collect()}
+    assert bare[1]["honorario"] == "20(100),10(100)" and bare[4]["observacion"] == "Nota."
+
+
+def test_predict_from_history(spark):
+    m = spark.createDataFrame([(1, "ok", ["9", "8"], "9(50),8(100)", "2"), (2, "no_history", None, None, None)], "id_agenda int, status string, codigos array<string>, honorario string, tiempo_anestesia string")
+    got = sorted(map(tuple, L.predict_from_history(m).collect()))
+    assert got == [(1, "ok", "9,8", "9(50),8(100)", "2", "", "Propuesta generada por IA; validar antes de guardar."), (2, "no_history", "", "", "", "", "")]
