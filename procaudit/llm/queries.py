@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -78,8 +78,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procaudit.llm.common import saved
+    from procaudit.llm.prefix_trie import trie_nodes, turn_sequences
+
+    own = saved(turn_sequences(table(spark, sf_dir, "conversations")), "conversations")
+    heads = own.where("conv % 20 = 0").select(F.col("conv").alias("base"), F.slice("ids", 1, 3).alias("h_ids"), F.slice("words", 1, 3).alias("h_words"))
+    rows = own.join(heads, F.col("conv") - F.col("conv") % 20 == F.col("base"), "left").withColumn("h", (F.crc32(F.col("conv").cast("string").cast("binary")) % 4).cast("int"))
+
+    def spliced(head: str, turns: str) -> Column:
+        first = F.when(F.col(head).isNull() | (F.col("h") == 0), F.slice(turns, 1, 0)).otherwise(F.slice(head, 1, F.col("h")))
+        return F.concat(first, F.slice(turns, F.col("h") + 1, F.size(turns))).alias(turns)
+
+    return trie_nodes(rows.select("conv", spliced("h_ids", "ids"), spliced("h_words", "words")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_archives, op2_toxicity, op3_source_mixing, op4_suffix_dedup, op5_line_dedup, op6_decontamination, op7_ngram_join, op8_exact_topk, op9_quality, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_warc_archives, op2_toxicity, op3_source_mixing, op4_suffix_dedup, op5_line_dedup, op6_decontamination, op7_ngram_join, op8_exact_topk, op9_quality, op10_lm_scoring, op12_prefix_trie)}
 
 
 BLANKS_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
@@ -131,6 +146,21 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_prefix_trie": """
+WITH own AS (SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(strlen(role), ':', role, text))) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ h AS (SELECT DISTINCT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+   lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h FROM own),
+ t AS (SELECT h.c, 0 AS part, i, role, text FROM h JOIN own o ON o.c = h.c - h.c % 20 AND i <= h UNION ALL SELECT h.c, 1, i, role, text FROM h JOIN own o ON o.c = h.c AND i > h),
+ d AS (SELECT c, row_number() OVER w AS depth, md5(concat(strlen(role), ':', role, text)) AS id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM t WINDOW w AS (PARTITION BY c ORDER BY part, i)),
+ p AS MATERIALIZED (SELECT c, depth, string_agg(id, '') OVER (PARTITION BY c ORDER BY depth) AS path, words FROM d UNION ALL SELECT c, 0, '', 0 FROM h),
+ n AS MATERIALIZED (SELECT depth, path, min(c) AS least, count(*) AS n FROM p GROUP BY ALL),
+ k AS MATERIALIZED (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS kids FROM n WHERE depth > 0 GROUP BY ALL),
+ m AS (SELECT p.*, least, kids, CASE WHEN c = least THEN 0 ELSE words END AS extra, depth = max(depth) OVER (PARTITION BY c) AS ends FROM p JOIN n USING (depth, path) LEFT JOIN k USING (path)),
+ s AS (SELECT *, sum(extra) OVER (PARTITION BY c ORDER BY depth DESC) AS saved, max(CASE WHEN ends AND c = least AND kids IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY c) AS leaf FROM m),
+ g AS (SELECT depth, path, any_value(least) AS least, count(*) AS n_convs, any_value(kids) AS kids, sum(leaf) AS leaves, sum(saved) AS saved, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends) AS ids FROM s GROUP BY depth, path)
+SELECT g.least AS conv_id, g.depth, u.least AS parent_conv_id, n_convs, coalesce(kids, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM g LEFT JOIN n u ON g.depth > 0 AND u.depth = g.depth - 1 AND u.path = left(g.path, 32 * (g.depth - 1))""",
 }
 
 
