@@ -78,6 +78,35 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procaudit.llm.periodic import collapse_runs, split_column
+
+    docs = table(spark, sf_dir, "documents")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        """Words from place a on repeat those from a to a + p."""
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n == 0, "").otherwise(F.array_join(F.slice(F.concat(F.slice(words, 1, a), tail), 1, n), " "))
+
+    text = F.when(h % 10 == 0, F.get(F.transform(F.array(split_column(F.col("text"))), planted), F.lit(0))).otherwise(F.col("text"))
+    found = collapse_runs(docs.select("doc_id", text.alias("text")))
+
+    def better(best: Column, r: Column) -> Column:
+        return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,period:bigint,length:bigint>"), better)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from procaudit.llm.common import saved
     from procaudit.llm.prefix_trie import trie_nodes, turn_sequences
@@ -94,7 +123,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_archives, op2_toxicity, op3_source_mixing, op4_suffix_dedup, op5_line_dedup, op6_decontamination, op7_ngram_join, op8_exact_topk, op9_quality, op10_lm_scoring, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_warc_archives, op2_toxicity, op3_source_mixing, op4_suffix_dedup, op5_line_dedup, op6_decontamination, op7_ngram_join, op8_exact_topk, op9_quality, op10_lm_scoring, op11_periodic_runs, op12_prefix_trie)}
 
 
 BLANKS_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
