@@ -122,8 +122,20 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_nodes(rows.select("conv", spliced("h_ids", "ids"), spliced("h_words", "words")))
 
 
+def op13_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procaudit.llm.spotsigs import common_words, fingerprints, with_next
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    anchors = common_words(docs)
+    cut = F.floor(F.col("n_chars") / 3).cast("int")
+    rows = with_next(docs).select(F.col("doc").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), "text", "next")
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next", F.lit(1), cut)))
+    out = fingerprints(rows.withColumn("edited_sha256", F.sha2("edited", 256)), anchors, "text", ("edited", "next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_archives, op2_toxicity, op3_source_mixing, op4_suffix_dedup, op5_line_dedup, op6_decontamination, op7_ngram_join, op8_exact_topk, op9_quality, op10_lm_scoring, op11_periodic_runs, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_warc_archives, op2_toxicity, op3_source_mixing, op4_suffix_dedup, op5_line_dedup, op6_decontamination, op7_ngram_join, op8_exact_topk, op9_quality, op10_lm_scoring, op11_periodic_runs, op12_prefix_trie, op13_spotsigs)}
 
 
 BLANKS_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
