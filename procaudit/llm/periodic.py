@@ -221,7 +221,8 @@ def collapse_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     found = find_runs(docs, doc_id, text).select(F.col("doc").alias("f_doc"), F.col("text_id").alias("f_text"), "runs", "gone")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), _doc(F.col(doc_id)).alias("doc"), F.xxhash64(text).alias("text_id"))
-    met = rows.join(found, (F.col("doc") == F.col("f_doc")) & (F.col("text_id") == F.col("f_text")), "left")
+    # sorted and merged at every size: a text moves once, and the plan is that of a large table
+    met = rows.join(found.hint("merge"), (F.col("doc") == F.col("f_doc")) & (F.col("text_id") == F.col("f_text")), "left")
 
     def collapsed(words: Column) -> Column:
         kept = F.transform(keep_runs(F.col("gone"), F.size(words)), lambda r: F.slice(words, r["start"], r["length"]))
