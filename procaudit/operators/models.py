@@ -1,75 +1,28 @@
-"""Classifiers for codes, fees and hours, and the jobs that attach them to predictions."""
+"""Classifiers for codes, fees and hours, kept as versions, and the jobs that attach them to predictions."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StringIndexer
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procaudit.functions.text import char_ngrams, code_text, observation_note
-from procaudit.functions.values import time_summary
+from procaudit.functions.text import code_text, observation_note
+from procaudit.functions.values import normalize_code, time_summary
 from procaudit.operators.evaluation import METRICS, THRESHOLDS, actual_vs_predicted, min_labels_topup, multilabel_metrics, select_best, threshold_sweep
+from procaudit.operators.grams import Featurizer, fit_vocabulary, spread
 from procaudit.operators.history import code_default_lookup
-from procaudit.operators.tfidf import gram_counts, tfidf_transform
 from procaudit.sources.tables import saved
-
-
-def _fit_code(c: float, rounds: int):
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Balanced logistic regression with an L2 penalty, by Newton steps over the grams that the code's rows use."""
-        grams = rows["gram"].to_numpy(object)
-        names, col = np.unique(grams.astype(str), return_inverse=True)
-        ids, row = np.unique(rows["id"].to_numpy(), return_inverse=True)
-        y = np.zeros(len(ids))
-        y[row] = rows["y"].to_numpy()
-        x = rows["weight"].to_numpy(np.float64)
-        pos = y.sum()
-        out = lambda g, w: pd.DataFrame({"codigo": key[0], "gram": g, "coef": w})
-        if pos == 0 or pos == len(y):
-            return out([""], [-50.0 if pos == 0 else 50.0])
-        balance = np.where(y == 1, len(y) / (2 * pos), len(y) / (2 * (len(y) - pos)))
-        w, b, step = np.zeros(len(names)), 0.0, 1.0
-        m, mb = np.zeros(len(names)), 0.0
-        for t in range(rounds):  # accelerated gradient descent on the mean loss
-            wm, bm = w + 0.9 * m, b + 0.9 * mb
-            z = np.bincount(row, x * wm[col], len(ids)) + bm
-            g = balance * (1 / (1 + np.exp(-z)) - y)
-            gw = np.bincount(col, x * g[row], len(names)) / len(y) + wm / (c * len(y))
-            gb = g.sum() / len(y) + bm / (c * len(y))
-            m, mb = 0.9 * m - step * gw, 0.9 * mb - step * gb
-            w, b = w + m, b + mb
-        return out(np.append(names, ""), np.append(w, b))
-
-    return fit
-
-
-def multilabel_fit(vectors: DataFrame, labels: DataFrame, codes: DataFrame, c: float = 1.0, rounds: int = 150) -> DataFrame:
-    """(codigo, gram, coef), gram '' the intercept: one logistic model a code. Every code sees all training vectors,
-    so the work is codes times vectors; each group is one code's."""
-    pairs = vectors.crossJoin(F.broadcast(codes.select("codigo"))).join(labels.select("id", "codigo").distinct().withColumn("y", F.lit(1.0)), ["id", "codigo"], "left").na.fill(0.0, ["y"])
-    return pairs.groupBy("codigo").applyInPandas(_fit_code(c, rounds), "codigo string, gram string, coef double")
-
-
-def multilabel_scores(vectors: DataFrame, ids: DataFrame, model: DataFrame) -> DataFrame:
-    """(id, codigo, prob) for every id and code of the model."""
-    bias = model.where("gram = ''").select("codigo", F.col("coef").alias("bias"))
-    part = vectors.join(model.where("gram <> ''"), "gram").groupBy("id", "codigo").agg(F.sum(F.col("weight") * F.col("coef")).alias("z"))
-    full = ids.select("id").crossJoin(F.broadcast(bias)).join(part, ["id", "codigo"], "left")
-    return full.select("id", "codigo", (1 / (1 + F.exp(-(F.coalesce("z", F.lit(0.0)) + F.col("bias"))))).alias("prob"))
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
+from procaudit.sources.versions import read_version, write_version
 
 #: Codes that one task fits together, and distinct texts up to which it works on their products with each other.
 CODE_BLOCK, DENSE_TEXTS = 64, 4096
-#: Distinct training texts that a grid is fitted on, and held texts that one task scores.
-FIT_TEXTS, HELD_TEXTS = 2048, 2048
+#: Codes that one task scores together; distinct training texts that a grid is fitted on, and texts that one task scores.
+SCORE_CODES, FIT_TEXTS, HELD_TEXTS = 1024, 2048, 2048
 
 
 class _Rows:
@@ -166,7 +119,33 @@ def fit_columns(rows: _Rows, copies: np.ndarray, positives: np.ndarray, c: np.nd
     return rows.transposed(done) if dense and not combined else done
 
 
-def _fitted_block(cs: tuple[float, ...], width: int):
+def _unpacked(column: pd.Series, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column]
+
+
+def _near_block(width: int):
+    def block(texts: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        """The products of each text with every fitted text, in order of their ids."""
+        if texts.empty:
+            return pd.DataFrame({"text_id": np.zeros(0, np.int64), "near": np.zeros(0, object)})
+        fitted = fitted.sort_values("text_id")
+        near = products(*(_Rows(_unpacked(t["idx"], np.int32), _unpacked(t["weights"], np.float32), width) for t in (texts, fitted)))
+        return pd.DataFrame({"text_id": texts["text_id"].to_numpy(), "near": [r.astype(np.float32).tobytes() for r in near]})
+
+    return block
+
+
+def nearness(texts: DataFrame, fitted: DataFrame, width: int) -> DataFrame:
+    """(text_id, near) of (text_id, idx, weights) rows: products with the fitted texts, computed once a text; a task
+    holds the fitted texts and about HELD_TEXTS others."""
+    spark = texts.sparkSession
+    parts = max(-(-texts.count() // HELD_TEXTS), 1)
+    asked = texts.select("text_id", "idx", "weights", F.pmod(F.xxhash64("text_id"), F.lit(parts).cast("long")).alias("part")).repartition(parts, "part")
+    every = fitted.select("text_id", "idx", "weights").toDF("text_id", "idx", "weights").crossJoin(F.broadcast(spark.range(parts).withColumnRenamed("id", "part")))
+    return saved(asked.groupBy("part").cogroup(every.groupBy("part")).applyInPandas(_near_block(width), "text_id long, near binary"), "nearness")
+
+
+def _fitted_block(cs: tuple[float, ...]):
     def block(texts: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
         """Of every code the bytes of its combination of the texts for each C; of one that all or none have, one number."""
         train, codes = texts.sort_values("text_id"), np.sort(labels["codigo"].unique())
@@ -177,8 +156,9 @@ def _fitted_block(cs: tuple[float, ...], width: int):
         out = [np.float32(50 if p > 0 else -50).tobytes() for p in pos]
         fitted = np.flatnonzero((pos > 0) & (pos < copies.sum()))
         if len(fitted):
-            rows = _Rows(train["idx"].tolist(), train["weights"].tolist(), width)
-            a = fit_columns(rows, copies, np.repeat(positives[:, fitted], len(cs), axis=1), np.tile(cs, len(fitted)), 1e-3, gram=products(rows, rows).astype(np.float64))
+            gram = np.stack(_unpacked(train["near"], np.float32)).astype(np.float64)
+            rows = _Rows([np.zeros(0, np.int32)] * len(train), [np.zeros(0)] * len(train), 0)  # all is in their products
+            a = fit_columns(rows, copies, np.repeat(positives[:, fitted], len(cs), axis=1), np.tile(cs, len(fitted)), 1e-3, gram=gram)
             for k, code in enumerate(fitted):
                 out[code] = np.ascontiguousarray(a[:, k * len(cs) : (k + 1) * len(cs)], np.float32).tobytes()
         return pd.DataFrame({"codigo": codes, "coef": out})
@@ -186,67 +166,83 @@ def _fitted_block(cs: tuple[float, ...], width: int):
     return block
 
 
-def _scored_block(cs: tuple[float, ...], least: float, top: int, width: int):
+def _scored_block(cs: tuple[float, ...], least: float, top: int):
     def block(texts: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        train, held, found = texts[texts["side"] == 0].sort_values("text_id"), texts[texts["side"] == 1], []
-        if len(held) and len(train):
-            near = products(*(_Rows(t["idx"].tolist(), t["weights"].tolist(), width) for t in (held, train)))
-        for at in range(0, len(models) if len(held) else 0, CODE_BLOCK):
-            part = models.iloc[at : at + CODE_BLOCK]
-            z = np.empty((len(held), len(part), len(cs)), np.float32)
-            for k, coef in enumerate(part["coef"]):
-                w = np.frombuffer(coef, np.float32)
-                z[:, k] = w[0] if len(w) == 1 else near @ w.reshape(len(train), len(cs))
-            prob = 1 / (1 + np.exp(-z.astype(np.float64)))
-            use = prob >= least
-            np.put_along_axis(use, np.argsort(-prob, axis=1, kind="stable")[:, :top], True, axis=1)
-            t, k, c = np.nonzero(use)
-            found.append(pd.DataFrame({"c": np.array(cs)[c], "text_id": held["text_id"].to_numpy()[t], "codigo": part["codigo"].to_numpy()[k], "prob": prob[t, k, c]}))
+        found = []
+        if len(texts) and len(models):
+            near, codes = np.stack(_unpacked(texts["near"], np.float32)), models["codigo"].to_numpy()
+            for at in range(0, len(models), CODE_BLOCK):
+                coefs = _unpacked(models["coef"].iloc[at : at + CODE_BLOCK], np.float32)
+                z = np.stack([np.full((len(near), len(cs)), w[0]) if len(w) == 1 else near @ w.reshape(near.shape[1], len(cs)) for w in coefs], axis=1)
+                prob = 1 / (1 + np.exp(-z.astype(np.float64)))
+                use = prob >= least
+                np.put_along_axis(use, np.argsort(-prob, axis=1, kind="stable")[:, :top], True, axis=1)
+                t, k, c = np.nonzero(use)
+                found.append(pd.DataFrame({"c": np.array(cs)[c], "text_id": texts["text_id"].to_numpy()[t], "codigo": codes[at + k], "prob": prob[t, k, c]}))
         return pd.concat(found) if found else pd.DataFrame({"c": np.zeros(0), "text_id": np.zeros(0, np.int64), "codigo": np.zeros(0, object), "prob": np.zeros(0)})
 
     return block
 
 
-def grid_scores(rows: DataFrame, cs: tuple[float, ...], least: float, min_labels: int = 1, min_df: int = 2, max_features: int = 250_000, fit_texts: int = FIT_TEXTS) -> tuple[DataFrame, DataFrame]:
-    """Scores (c, text_id, codigo, prob) of the texts outside the training part, and (id, part, text_id, codigos).
+def block_scores(near: DataFrame, models: DataFrame, cs: tuple[float, ...], least: float, min_labels: int) -> DataFrame:
+    """(c, text_id, codigo, prob) of each text by each code's model, met by (part of texts, block of codes), each pair of
+    them once. Probabilities under ``least`` go unless they may be a text's ``min_labels`` best."""
+    parts, blocks = max(-(-near.count() // HELD_TEXTS), 1), max(-(-models.count() // SCORE_CODES), 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = near.withColumn("part", F.pmod(F.xxhash64("text_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    right = models.withColumn("block", F.pmod(F.xxhash64("codigo"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    met = left.repartition(parts * blocks, "part", "block").groupBy("part", "block").cogroup(right.repartition(parts * blocks, "part", "block").groupBy("part", "block"))
+    return met.applyInPandas(_scored_block(cs, least, min_labels), "c double, text_id long, codigo string, prob double")
+
+
+@dataclass
+class FittedGrid:
+    """Models of every code for each C of a grid: (gram, idx, idf), the fitted texts (text_id, idx, weights), and of each
+    code its combination of these texts."""
+
+    vocabulary: DataFrame
+    fitted: DataFrame
+    models: DataFrame
+    cs: tuple[float, ...]
+
+
+def fit_grid(rows: DataFrame, cs: tuple[float, ...], min_df: int = 2, max_features: int = 250_000, fit_texts: int = FIT_TEXTS) -> tuple[FittedGrid, DataFrame, DataFrame]:
+    """(models, packed texts, (id, part, text_id, codigos)) of rows (id, text, codigos, part).
 
     Vocabulary and inverse frequencies are those of all training rows. Every code gets a model for each C, fitted on
-    ``fit_texts`` distinct training texts at most, those of the least hashes; equal texts are one row with a count.
-    A task fits CODE_BLOCK codes on the products of these texts with each other; another scores about HELD_TEXTS held
-    texts by every model, 4 bytes a code, C and fitted text. A code without rows among the fitted texts scores 0.
-    Probabilities under ``least`` go unless they may be a text's ``min_labels`` best."""
-    spark, rows = rows.sparkSession, saved(rows, "rows")
-    texts = saved(rows.groupBy("text").agg(F.count_if(F.col("part") == "train").alias("copies"), (F.count_if(F.col("part") != "train") > 0).alias("held")).withColumn("text_id", F.xxhash64("text")), "texts")
-    named = saved(rows.join(texts.select("text", "text_id"), "text").select("id", "part", "text_id", "codigos"), "named")
-    counts = saved(gram_counts(_spread(texts, "text_id"), "text_id"), "counts")
-    seen = counts.join(texts.where("copies > 0").select("text_id", "copies"), "text_id")
-    grams = seen.groupBy("gram").agg(F.sum("copies").alias("df"), F.sum(F.col("n") * F.col("copies")).alias("total")).where(F.col("df") >= min_df).orderBy(F.desc("total"), "gram").limit(max_features)
-    numbered = saved(grams.withColumn("idf", F.log((1.0 + named.where("part = 'train'").count()) / (1.0 + F.col("df"))) + 1.0).withColumn("idx", F.row_number().over(Window.orderBy("gram")) - 1), "numbered")
-    vectors = tfidf_transform(counts, numbered, "text_id").join(F.broadcast(numbered.select("gram", "idx")), "gram")
-    packed = vectors.groupBy("text_id").agg(F.collect_list("idx").alias("idx"), F.collect_list("weight").alias("weights"))
-    none = lambda t: F.array().cast(f"array<{t}>")
-    packed = saved(texts.select("text_id", "copies", "held").join(packed, "text_id", "left").withColumns({"idx": F.coalesce("idx", none("int")), "weights": F.coalesce("weights", none("double"))}), "packed")
+    ``fit_texts`` distinct training texts at most, those of the least hashes; equal texts are one row with a count. The
+    products of these texts with each other are computed once, and a task fits CODE_BLOCK codes on them. A code without
+    rows among the fitted texts scores 0."""
+    spark, rows = rows.sparkSession, saved(rows.withColumn("text_id", F.xxhash64("text")), "rows")
+    named = rows.select("id", "part", "text_id", "codigos")
+    texts = saved(spread(rows.groupBy("text_id").agg(F.any_value("text").alias("text"), F.count_if(F.col("part") == "train").alias("copies"), (F.count_if(F.col("part") != "train") > 0).alias("held")), "text_id"), "texts")
+    vocabulary = saved(fit_vocabulary(texts.where("copies > 0").select("copies", "text"), min_df, max_features), "vocabulary")
+    featurizer = Featurizer(vocabulary)
+    packed = saved(featurizer.packed(texts.select("text_id", "copies", "held", "text")), "packed")
     train = saved(packed.where("copies > 0").orderBy("text_id").limit(fit_texts), "train")
     known = named.where("part = 'train'").join(F.broadcast(train.select("text_id")), "text_id").select(F.col("text_id").alias("label_of"), F.explode(F.array_distinct("codigos")).alias("codigo"))
-    codes = named.select(F.explode("codigos").alias("codigo")).distinct()
+    codes = saved(named.select(F.explode("codigos").alias("codigo")).distinct(), "codes")
     labels = codes.join(known.groupBy("label_of", "codigo").agg(F.count("*").alias("label_copies")), "codigo", "left").na.fill(0, ["label_copies"])
-    blocks, parts = max(-(-codes.count() // CODE_BLOCK), 1), max(-(-packed.where("held").count() // HELD_TEXTS), 1)
-    left = train.crossJoin(F.broadcast(spark.range(blocks).withColumnRenamed("id", "block"))).repartition(blocks, "block")
+    blocks = max(-(-codes.count() // CODE_BLOCK), 1)
+    left = nearness(train, train, featurizer.width).join(train.select("text_id", "copies"), "text_id").crossJoin(F.broadcast(spark.range(blocks).withColumnRenamed("id", "block"))).repartition(blocks, "block")
     right = labels.withColumn("label_block", F.pmod(F.xxhash64("codigo"), F.lit(blocks).cast("long")))
-    width = numbered.count()
-    models = saved(left.groupBy("block").cogroup(right.groupBy("label_block")).applyInPandas(_fitted_block(cs, width), "codigo string, coef binary").where("codigo is not null"), "models")
-    every = F.broadcast(spark.range(parts).withColumnRenamed("id", "part"))
-    asked = packed.where("held").select("text_id", "idx", "weights", F.lit(1).alias("side"), F.pmod(F.xxhash64("text_id"), F.lit(parts).cast("long")).alias("part"))
-    sides = asked.unionByName(train.select("text_id", "idx", "weights", F.lit(0).alias("side")).crossJoin(every)).repartition(parts, "part")
-    found = sides.groupBy("part").cogroup(models.crossJoin(every).groupBy("part")).applyInPandas(_scored_block(cs, least, min_labels, width), "c double, text_id long, codigo string, prob double")
-    return saved(found, "scores"), named
+    models = left.groupBy("block").cogroup(right.groupBy("label_block")).applyInPandas(_fitted_block(cs), "codigo string, coef binary").where("codigo is not null")
+    return FittedGrid(vocabulary, train.select("text_id", "idx", "weights"), saved(models, "models"), cs), packed, named
+
+
+def grid_scores(rows: DataFrame, cs: tuple[float, ...], least: float, min_labels: int = 1, min_df: int = 2, max_features: int = 250_000, fit_texts: int = FIT_TEXTS) -> tuple[DataFrame, DataFrame, FittedGrid]:
+    """Scores (c, text_id, codigo, prob) of the texts outside the training part by the models of ``fit_grid``, (id, part,
+    text_id, codigos), and the models."""
+    grid, packed, named = fit_grid(rows, cs, min_df, max_features, fit_texts)
+    near = nearness(packed.where("held"), grid.fitted, grid.vocabulary.count())
+    return saved(block_scores(near, grid.models, cs, least, min_labels), "scores"), named, grid
 
 
-def multilabel_grid(rows: DataFrame, cs: tuple[float, ...] = (0.5, 1.0, 2.0), thresholds: tuple[float, ...] = THRESHOLDS, min_labels: int = 1, metric: str = "avg_dice", min_df: int = 2, max_features: int = 250_000, fit_texts: int = FIT_TEXTS) -> DataFrame:
+def evaluated_grid(rows: DataFrame, cs: tuple[float, ...] = (0.5, 1.0, 2.0), thresholds: tuple[float, ...] = THRESHOLDS, min_labels: int = 1, metric: str = "avg_dice", min_df: int = 2, max_features: int = 250_000, fit_texts: int = FIT_TEXTS) -> tuple[DataFrame, FittedGrid]:
     """(part, c, threshold, selected, the 11 figures): every C and threshold on the validation rows, and the best of
-    them on the test rows. ``rows`` (id, text, codigos, part) with distinct ids; the fit is that of ``grid_scores``.
-    Of equal figures the first in order wins, and another C only by a larger ``metric``."""
-    scores, named = grid_scores(rows, cs, min(thresholds), min_labels, min_df, max_features, fit_texts)
+    them on the test rows; and the fitted models. ``rows`` (id, text, codigos, part) with distinct ids; the fit is that
+    of ``fit_grid``. Of equal figures the first in order wins, and another C only by a larger ``metric``."""
+    scores, named, fitted = grid_scores(rows, cs, min(thresholds), min_labels, min_df, max_features, fit_texts)
     actual = named.select("id", "part", F.explode("codigos").alias("codigo"))
     of_part = lambda name, c: scores.where(F.col("c") == c).join(named.where(F.col("part") == name).select("id", "text_id"), "text_id").select("id", "codigo", "prob")
     grid, best = [], None
@@ -261,12 +257,17 @@ def multilabel_grid(rows: DataFrame, cs: tuple[float, ...] = (0.5, 1.0, 2.0), th
     for g in grid[1:]:
         out = out.unionByName(g)
     if best is None:
-        return out.withColumn("selected", F.lit(False)).select("part", "c", "threshold", "selected", *METRICS)
+        return out.withColumn("selected", F.lit(False)).select("part", "c", "threshold", "selected", *METRICS), fitted
     chosen = min_labels_topup(of_part("test", best["c"]), F.lit(best["threshold"]), min_labels).where("selected")
     test = multilabel_metrics(actual_vs_predicted(actual.where("part = 'test'"), chosen), named.where("part = 'test'").select("id"))
     test = test.withColumns({"part": F.lit("test"), "c": F.lit(best["c"]), "threshold": F.lit(best["threshold"])})
     picked = (F.col("c") == best["c"]) & (F.col("threshold") == best["threshold"])
-    return out.unionByName(test).withColumn("selected", picked).select("part", "c", "threshold", "selected", *METRICS)
+    return out.unionByName(test).withColumn("selected", picked).select("part", "c", "threshold", "selected", *METRICS), fitted
+
+
+def multilabel_grid(rows: DataFrame, **options) -> DataFrame:
+    """The figures of ``evaluated_grid``."""
+    return evaluated_grid(rows, **options)[0]
 
 
 def multilabel_predict(scores: DataFrame, threshold: float = 0.5, min_labels: int = 1) -> DataFrame:
@@ -274,35 +275,102 @@ def multilabel_predict(scores: DataFrame, threshold: float = 0.5, min_labels: in
     return min_labels_topup(scores, F.lit(threshold), min_labels).where("selected").select("id", "codigo", F.round("prob", 4).alias("score"))
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """As many partitions as shuffles have: making grams outweighs the bytes by which small inputs are merged."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+CODE_TARGET = "codigos"
+
+
+@dataclass
+class CodeModel:
+    """The classifier of codes: a model a code, a threshold, and the number of codes that every text gets at least."""
+
+    vocabulary: DataFrame
+    fitted: DataFrame
+    models: DataFrame
+    threshold: float
+    min_labels: int
+    evaluation: dict
+
+    def scores(self, requests: DataFrame, least: float = 0.0) -> DataFrame:
+        """(id, codigo, prob) of requests (id, text): probabilities under ``least`` go unless they may be among a
+        text's best. Equal texts are scored once; texts without anything but blanks have no scores."""
+        rows = requests.where(F.trim("text") != "").select("id", F.col("text"), F.xxhash64("text").alias("text_id"))
+        featurizer = Featurizer(self.vocabulary)
+        texts = spread(rows.groupBy("text_id").agg(F.any_value("text").alias("text")), "text_id")
+        near = nearness(saved(featurizer.packed(texts), "requests"), self.fitted, featurizer.width)
+        scored = block_scores(near, self.models, (0.0,), least, self.min_labels)
+        return rows.select("id", "text_id").join(scored, "text_id").select("id", "codigo", "prob")
+
+    def predict(self, requests: DataFrame) -> DataFrame:
+        """(id, codigo, score) of the selected codes, normalized; of raw codes that become one the best score counts."""
+        chosen = multilabel_predict(self.scores(requests, self.threshold), self.threshold, self.min_labels)
+        return chosen.select("id", normalize_code(F.col("codigo")).alias("codigo"), "score").where("codigo <> ''").groupBy("id", "codigo").agg(F.max("score").alias("score"))
+
+    def save(self, path: str, rows: int) -> int:
+        """Adds a version under ``path``; its tables are the vocabulary, the fitted texts and the codes' coefficients."""
+        return write_version(path, CODE_TARGET, rows, {"vocabulary": self.vocabulary, "texts": self.fitted, "coefficients": self.models}, evaluation=self.evaluation, settings={"threshold": self.threshold, "min_labels": self.min_labels})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, number: int | None = None) -> CodeModel:
+        v = read_version(spark, path, number, CODE_TARGET)
+        return CodeModel(v.table("vocabulary"), v.table("texts"), v.table("coefficients"), v.meta["settings"]["threshold"], v.meta["settings"]["min_labels"], v.meta["evaluation"])
+
+
+def fit_code_model(rows: DataFrame, **options) -> CodeModel:
+    """The classifier of the C and threshold that ``evaluated_grid`` selects on the validation rows, with the figures of
+    the test rows as its evaluation."""
+    figures, grid = evaluated_grid(rows, **options)
+    test = next((r for r in figures.where("part = 'test'").collect()), None)
+    if test is None:
+        raise ValueError("no validation or test rows")
+    k, n = grid.cs.index(test["c"]), len(grid.cs)
 
+    def of_one_c(batches):
+        for batch in batches:
+            coefs = _unpacked(batch["coef"], np.float32)
+            yield batch.assign(coef=[(w if len(w) == 1 else w.reshape(-1, n)[:, k]).tobytes() for w in coefs])
 
-def value_model_fit(rows: DataFrame, value: str, max_features: int = 100_000, c: float = 1.0, min_df: int = 2):
-    """A single-label TF-IDF + logistic pipeline on (text, value); returns a function that adds ``y_pred``.
+    models = saved(grid.models.mapInPandas(of_one_c, grid.models.schema), "chosen")
+    return CodeModel(grid.vocabulary, grid.fitted, models, test["threshold"], options.get("min_labels", 1), {"c": test["c"]} | {m: test[m] for m in METRICS})
 
-    The grams are made once and kept while the vocabulary is counted, the rows as features while the model is fitted;
-    all rows are used."""
-    grams = _kept(_spread(rows.select(value, "text"), "text").select(value, char_ngrams(F.col("text")).alias("grams")))
-    labels = StringIndexer(inputCol=value, outputCol="label", stringOrderType="alphabetAsc").fit(grams)
-    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max_features, minDF=float(min_df)).fit(grams)
-    counted = _kept(labels.transform(counts.transform(grams)).select(value, "label", "tf"))
-    idf = IDF(inputCol="tf", outputCol="tfidf").fit(counted)
-    grams.unpersist()
-    norm = Normalizer(inputCol="tfidf", outputCol="features")
-    n, k = counted.count(), len(labels.labels)
-    weights = counted.groupBy("label").agg((F.lit(float(n)) / (k * F.count("*"))).alias("weight"))  # a row a class
-    ready = norm.transform(idf.transform(counted)).join(F.broadcast(weights), "label").select("label", "features", "weight")
-    model = LogisticRegression(weightCol="weight", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=50).fit(ready)
-    counted.unpersist()
-    names = F.array(*map(F.lit, labels.labels))
 
-    def predict(df: DataFrame) -> DataFrame:
-        scored = model.transform(norm.transform(idf.transform(counts.transform(_spread(df).withColumn("grams", char_ngrams(F.col("text")))))))
-        return scored.withColumn("y_pred", F.element_at(names, (F.col("prediction") + 1).cast("int"))).drop("grams", "tf", "tfidf", "features", "rawPrediction", "probability", "prediction")
+@dataclass
+class ValueModel:
+    """A single-label classifier of texts: called on rows with ``text``, adds ``y_pred``."""
 
-    return predict
+    vocabulary: DataFrame
+    regression: LogisticRegressionModel
+    labels: list[str]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        scored = self.regression.transform(Featurizer(self.vocabulary).vectors(spread(df).withColumn("_words", F.coalesce("text", F.lit(""))), "_words"))
+        names = F.array(*map(F.lit, self.labels))
+        return scored.withColumn("y_pred", F.element_at(names, (F.col("prediction") + 1).cast("int"))).drop("features", "rawPrediction", "probability", "prediction")
+
+    def save(self, path: str, target: str, rows: int, evaluation: dict | None = None) -> int:
+        return write_version(path, target, rows, {"vocabulary": self.vocabulary}, {"regression": self.regression}, evaluation, {"labels": self.labels})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, target: str, number: int | None = None) -> ValueModel:
+        v = read_version(spark, path, number, target)
+        return ValueModel(v.table("vocabulary"), v.stage("regression"), v.meta["settings"]["labels"])
+
+
+def value_model_fit(rows: DataFrame, value: str, max_features: int = 100_000, c: float = 1.0, min_df: int = 2) -> ValueModel:
+    """A TF-IDF + logistic model of (text, value) rows, with classes weighted alike. All rows are used; equal rows are
+    one with a weight, and features are kept while the model is fitted."""
+    counted = saved(rows.where(F.col(value).isNotNull()).groupBy(F.coalesce("text", F.lit("")).alias("text"), F.col(value).alias("value")).agg(F.count("*").alias("copies")), "value-rows")
+    classes = counted.groupBy("value").agg(F.sum("copies").alias("n")).orderBy("value").collect()  # a row a class
+    if not classes:
+        raise ValueError("no rows to fit a model on")
+    labels, n = [r["value"] for r in classes], sum(r["n"] for r in classes)
+    texts = saved(spread(counted.groupBy("text").agg(F.sum("copies").alias("copies")), "text"), "value-texts")
+    vocabulary = saved(fit_vocabulary(texts.select("copies", "text"), min_df, max_features), "vocabulary")
+    numbers = F.create_map(*[x for k, r in enumerate(classes) for x in (F.lit(r["value"]), F.struct(F.lit(float(k)).alias("label"), F.lit(n / (len(labels) * r["n"])).alias("weight")))])
+    found = F.element_at(numbers, F.col("value"))
+    ready = spread(counted, "text").select(found["label"].alias("label"), (found["weight"] * F.col("copies")).alias("weight"), "text")
+    features = Featurizer(vocabulary).vectors(ready).persist(StorageLevel.MEMORY_AND_DISK)
+    model = LogisticRegression(weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=50).fit(features)
+    features.unpersist()
+    return ValueModel(vocabulary, model, labels)
 
 
 def apply_values(predicted: DataFrame, by_code: DataFrame | None, default: str | None, last: str) -> DataFrame:
@@ -376,6 +444,13 @@ def predict_batch(requests: DataFrame, selected: DataFrame, matches: DataFrame,
     return out.join(support, "id").select("id", status.alias("status"), F.coalesce("codigos", F.lit("")).alias("codigos"), "honorario", "tiempo_anestesia", "plantillas", said.alias("observacion"))
 
 
+def predict_stored(requests: DataFrame, matches: DataFrame, codes: str, fees: str | None = None, times: str | None = None, note: str = "Codigos propuestos; validar antes de guardar.") -> DataFrame:
+    """``predict_batch`` by the latest versions under the paths ``codes``, ``fees`` and ``times``."""
+    spark = requests.sparkSession
+    values = [path and ValueModel.load(spark, path, target) for path, target in ((fees, "porcentaje"), (times, "tiempo"))]
+    return predict_batch(requests, CodeModel.load(spark, codes).predict(requests), matches, *values, note)
+
+
 def predict_from_history(matched: DataFrame, note: str = "Propuesta generada por IA; validar antes de guardar.") -> DataFrame:
     """The rows of ``match_history`` in the columns of ``predict_batch``, for requests where no model of codes exists:
     codes, fees and time of the matched group, none and no note where no group is alike enough."""

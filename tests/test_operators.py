@@ -105,14 +105,6 @@ def test_blocks_grow_with_the_rows(spark, monkeypatch):
     assert sizes.value == 0
 
 
-def test_fitted_codes_separate(spark):
-    vectors = spark.createDataFrame([(i, "x" if i % 2 else "y", 1.0) for i in range(20)], "id long, gram string, weight double")
-    labels = spark.createDataFrame([(i, "odd") for i in range(1, 20, 2)] + [(i, "all") for i in range(20)], "id long, codigo string")
-    codes = labels.select("codigo").distinct().union(spark.createDataFrame([("none",)], "codigo string"))
-    scored = L.multilabel_scores(vectors, vectors, L.multilabel_fit(vectors, labels, codes, c=10.0)).collect()
-    assert all((r["prob"] >= 0.5) == (r["codigo"] == "all" or r["codigo"] == "odd" and r["id"] % 2 == 1) for r in scored)
-
-
 def test_columns_reach_their_minimum(monkeypatch):
     import numpy as np
 
@@ -224,12 +216,12 @@ def test_grid_of_a_bounded_fit_and_of_held_blocks(spark, monkeypatch):
     """One fitted text leaves the other codes at 0; held texts in several blocks score as in one."""
     rows = [(f"{i}:{r}", f"word{'abc'[i] * 4} n{r}", [f"c{i}"], "test" if r < 3 else "train") for i in range(3) for r in range(8)]
     data = spark.createDataFrame(rows, "id string, text string, codigos array<string>, part string")
-    one, _ = L.grid_scores(data, (1.0,), 0.0)
+    one, *_ = L.grid_scores(data, (1.0,), 0.0)
     monkeypatch.setattr(L, "HELD_TEXTS", 2)
-    many, _ = L.grid_scores(data, (1.0,), 0.0)
+    many, *_ = L.grid_scores(data, (1.0,), 0.0)
     key = lambda df: sorted((r["text_id"], r["codigo"], round(r["prob"], 4)) for r in df.collect())
     assert key(one) == key(many) and one.count() == 27
-    few, _ = L.grid_scores(data, (1.0,), 0.0, fit_texts=1)
+    few, *_ = L.grid_scores(data, (1.0,), 0.0, fit_texts=1)
     assert few.where("prob > 0.5").select("codigo").distinct().count() == 1
 
 
