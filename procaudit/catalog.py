@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procaudit.plans import backfill, evaluation, matching, relational, scalars  # noqa: F401
+from procaudit.plans import backfill, evaluation, matching, prediction, relational, scalars  # noqa: F401
 from procaudit.plans.registry import ORACLES, QUERIES
 
 

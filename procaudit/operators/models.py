@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from procaudit.functions.text import code_text, observation_note
 from procaudit.functions.values import normalize_code, time_summary
-from procaudit.operators.evaluation import METRICS, THRESHOLDS, actual_vs_predicted, min_labels_topup, multilabel_metrics, select_best, threshold_sweep
+from procaudit.operators.evaluation import METRICS, THRESHOLDS, actual_vs_predicted, compare_systems, min_labels_topup, multilabel_metrics, select_best, threshold_sweep
 from procaudit.operators.grams import Featurizer, fit_vocabulary, spread
 from procaudit.operators.history import code_default_lookup
 from procaudit.sources.tables import saved
@@ -444,6 +444,15 @@ def predict_batch(requests: DataFrame, selected: DataFrame, matches: DataFrame,
     return out.join(support, "id").select("id", status.alias("status"), F.coalesce("codigos", F.lit("")).alias("codigos"), "honorario", "tiempo_anestesia", "plantillas", said.alias("observacion"))
 
 
+def hybrid_report(ids: DataFrame, actual: DataFrame, predicted: DataFrame, matches: DataFrame, template_codes: DataFrame) -> DataFrame:
+    """The 11 figures of the classifier alone, of the templates that ``matches`` found alone, and of the classifier
+    with templates as support, which leaves its codes alone; over the codes that occur in ``actual``."""
+    alone = saved(predicted.select("id", "codigo"), "predicted")
+    templates = template_code_scores(matches, template_codes).select(F.col("q_id").alias("id"), "codigo")
+    systems = {"modelo_solo": alone, "plantillas_solo_referencia": templates, "modelo_con_soporte_visual": alone}
+    return compare_systems(actual, systems, ids, actual.select("codigo").distinct())
+
+
 def predict_stored(requests: DataFrame, matches: DataFrame, codes: str, fees: str | None = None, times: str | None = None, note: str = "Codigos propuestos; validar antes de guardar.") -> DataFrame:
     """``predict_batch`` by the latest versions under the paths ``codes``, ``fees`` and ``times``."""
     spark = requests.sparkSession

@@ -35,7 +35,7 @@ def tfidf_transform(counts: DataFrame, vocabulary: DataFrame, key: str = "id") -
 BLOCK_ROWS = 4096
 #: Queries whose scores against a train block are held at once, and products that are added up at once.
 QUERY_ROWS, PRODUCTS = 512, 1 << 22
-FOUND = "q_id long, id {id}, score double"
+FOUND = "q_id {q_id}, id {id}, score double"
 
 
 def _blocks(df: DataFrame, key: str, value: str, blocks: int, name: str) -> DataFrame:
@@ -49,12 +49,12 @@ def _block_pairs(queries: DataFrame, train: DataFrame, value: str, score, blocks
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     q = _blocks(queries, "id", value, qs, "qb").withColumn("tb", every(ts))
     t = _blocks(train, "id", value, ts, "tb").withColumn("qb", every(qs))
-    return q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(score, FOUND.format(id=train.schema["id"].dataType.simpleString()))
+    return q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(score, FOUND.format(q_id=queries.schema["id"].dataType.simpleString(), id=train.schema["id"].dataType.simpleString()))
 
 
-def _found(queries: list, ids: list, scores: list, of: pd.Series) -> pd.DataFrame:
+def _found(queries: list, ids: list, scores: list, asked: pd.Series, of: pd.Series) -> pd.DataFrame:
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return pd.DataFrame({"q_id": join(queries, np.int64).astype(np.int64), "id": pd.Series(join(ids, of.dtype), dtype=of.dtype), "score": join(scores, np.float64)})
+    return pd.DataFrame({"q_id": pd.Series(join(queries, asked.dtype), dtype=asked.dtype), "id": pd.Series(join(ids, of.dtype), dtype=of.dtype), "score": join(scores, np.float64)})
 
 
 def _best_of(scores: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def _best_of(scores: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.n
 
 def _dense_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if left.empty or right.empty:
-        return _found([], [], [], right["id"])
+        return _found([], [], [], left["id"], right["id"])
     right = right.sort_values("id")
     q, t = (np.stack(df["v"].to_numpy()).astype(np.float64) for df in (left, right))
     q, t = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (q, t))
@@ -83,14 +83,14 @@ def _dense_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row, column = _best_of(s, 1, -np.inf)
         for part, values in zip(out, (mine[row], ids[column], s[row, column]), strict=True):
             part.append(values)
-    return _found(*out, right["id"])
+    return _found(*out, left["id"], right["id"])
 
 
 def _sparse_best(n: int, least: float):
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Scores of query vectors against postings of the train block, added up term by term."""
         if left.empty or right.empty:
-            return _found([], [], [], right["id"])
+            return _found([], [], [], left["id"], right["id"])
         right = right.sort_values("id")
         vectors = lambda df: ([np.array([p["gram"] for p in v], np.int64) for v in df["v"]], [np.array([p["weight"] for p in v], np.float64) for v in df["v"]])
         t_grams, t_weights = vectors(right)
@@ -119,7 +119,7 @@ def _sparse_best(n: int, least: float):
             row, column = _best_of(s, n, least)
             for part, values in zip(out, (keys[a : a + QUERY_ROWS][row], ids[column], s[row, column]), strict=True):
                 part.append(values)
-        return _found(*out, right["id"])
+        return _found(*out, left["id"], right["id"])
 
     return best
 

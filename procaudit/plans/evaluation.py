@@ -10,7 +10,6 @@ from procaudit.operators import history as H
 from procaudit.plans import registry as R
 from procaudit.plans.registry import query
 from procaudit.plans.relational import FEES, TIMES, _majority
-from procaudit.plans.shared import text_label_pairs
 from procaudit.sources.fixtures import table
 
 #: What stands for the true codes of the score table: those of probability 0.45 to 0.85, by a rule on id and code.
@@ -201,7 +200,3 @@ def apply_times(spark, sf_dir):
 
     by_code = H.majority_by_code(H.time_training_set(table(spark, sf_dir, "audit_detail")), "tiempo_norm")
     return times_per_request(apply_values(placed(spark, sf_dir), by_code, None, "0"), scores(spark, sf_dir).select("id").distinct())
-
-
-def labelled_texts(spark, sf_dir):
-    return text_label_pairs(spark, sf_dir)

@@ -209,11 +209,11 @@ def ordered_limit(spark, sf_dir):
 
 @query(f"WITH {FEES} SELECT *, (SELECT count(*) FROM fees) AS training_rows FROM ({_majority('fees', 'porcentaje_norm')})", "audit_detail")
 def write_model(spark, sf_dir):
-    """The fee majority model written to the shared folder and read back."""
+    """The fee majority model written as a version to the shared folder and read back."""
     from procaudit.sources.tables import scratch_path
-    from procaudit.sources.tables import write_model as write
+    from procaudit.sources.versions import read_version, write_version
 
     rows = H.fee_training_set(detail(spark, sf_dir))
-    write(path := scratch_path(spark, "model"), "porcentaje", rows.count(), {"by_code": H.majority_by_code(rows, "porcentaje_norm")})
-    meta = spark.read.parquet(f"{path}/metadata").select("training_rows")
-    return spark.read.parquet(f"{path}/by_code").crossJoin(F.broadcast(meta))
+    write_version(path := scratch_path(spark, "model"), "porcentaje", rows.count(), {"by_code": H.majority_by_code(rows, "porcentaje_norm")})
+    model = read_version(spark, path, target="porcentaje")
+    return model.table("by_code").withColumn("training_rows", F.lit(model.meta["training_rows"]).cast("long"))

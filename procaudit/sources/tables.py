@@ -43,15 +43,6 @@ def read_group(spark: SparkSession, names: tuple[str, ...], folder: str | None =
     return {n: read_table(spark, n, f"{folder}/{n}.parquet" if folder else None, jdbc) for n in names}
 
 
-def write_model(path: str, target: str, rows: int, parts: dict[str, DataFrame], notes: str = "") -> None:
-    """A trained artifact: a Parquet table a part, and one row of metadata."""
-    for name, df in parts.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = SparkSession.active()
-    meta = spark.range(1).select(F.lit(1).alias("version"), F.current_timestamp().alias("trained_at"), F.lit(target).alias("target"), F.lit(rows).cast("long").alias("training_rows"), F.lit(notes).alias("evaluation"))
-    meta.write.mode("overwrite").parquet(f"{path}/metadata")
-
-
 def apply_updates(target: DataFrame, updates: DataFrame, path: str | None = None) -> DataFrame:
     """``target`` with the changed ``tiempo_anestesia`` and ``honorario_auditor`` of ``updates`` (id, new_time,
     new_fee); written as a new version by month under ``path`` only where one is given, so a dry run is the default."""
