@@ -19,7 +19,7 @@ from procaudit.plans.registry import query
 from procaudit.plans.relational import ACTIVE, ASSEMBLED, FEES, JOINED, KEPT, PROCS, TIMES, TRAIN, _majority, assembled
 from procaudit.plans.shared import text_label_pairs
 from procaudit.sources.fixtures import table
-from procaudit.sources.tables import TEMPLATES
+from procaudit.sources.tables import TEMPLATES, saved
 
 MATCHED = ("audit_detail", "solicitudes")
 GROUPS = f"""g AS MATERIALIZED (SELECT id_agenda, id_empresa, id_seguro, codigo_grupo_auditor, honorario_auditor, tiempo_anestesia, nombre_procedimiento, observacion_auditor, procedimiento_auditor,
@@ -48,6 +48,11 @@ def both(spark, sf_dir):
     return table(spark, sf_dir, "solicitudes"), table(spark, sf_dir, "audit_detail")
 
 
+def matched(spark, sf_dir):
+    s, d = both(spark, sf_dir)
+    return M.best_candidates(s, saved(H.history_groups(d), "groups"))
+
+
 @query(f"WITH {GROUPS}, {POOLED} SELECT r_id, count(*) AS n, min(place) AS first, max(place) AS last, min(group_id) AS least_group FROM pool GROUP BY r_id", *MATCHED)
 def recent_candidates(spark, sf_dir):
     s, d = both(spark, sf_dir)
@@ -79,14 +84,12 @@ def weighted_jaccard(spark, sf_dir):
 
 @query(f"WITH {GROUPS}, {POOLED}, {SCORED} SELECT r_id, CAST(sum(n) AS BIGINT) AS n, round(max(score), 4) AS best, round(sum(n * score) / sum(n), 4) AS mean FROM sc GROUP BY r_id", *MATCHED)
 def history_score(spark, sf_dir):
-    scored, _ = M.scored_candidates(*both(spark, sf_dir))
-    return scored.groupBy("r_id").agg(F.sum("n").alias("n"), F.round(F.max("score"), 4).alias("best"), F.round(F.sum(F.col("n") * F.col("score")) / F.sum("n"), 4).alias("mean"))
+    return matched(spark, sf_dir).select("r_id", "n", F.round("best", 4).alias("best"), F.round("mean", 4).alias("mean"))
 
 
 @query(f"WITH {GROUPS}, {POOLED}, {SCORED} SELECT r_id, group_id, round(score, 4) AS score FROM best", *MATCHED)
 def best_candidate(spark, sf_dir):
-    scored, _ = M.scored_candidates(*both(spark, sf_dir))
-    return M.best_candidate(scored).withColumn("score", F.round("score", 4))
+    return matched(spark, sf_dir).select("r_id", "group_id", F.round("best", 4).alias("score"))
 
 
 MATCH = f"""{GROUPS}, {POOLED}, {SCORED}, o AS MATERIALIZED (SELECT s.id_agenda, s.procedimiento_sistema, b.score, {R.codes("coalesce(nullif(codigo_grupo_auditor, ''), codigos)")} AS cs, coalesce(honorario_auditor, '') AS fees, tiempo_anestesia, coalesce(nullif(nombre_procedimiento, ''), nullif(procedimiento_auditor, ''), procedimiento_sistema, '') AS nombre
