@@ -1,10 +1,10 @@
 """Line de-duplication over the whole corpus, in DataFrame functions only.
 
-Texts are split and hashed once. Line hashes go to equal ranges of the hash space and are sorted there by hash, document
-and position, so one pass streams over each line's occurrences, marks the first in every document and knows the
-keeper. Lines that hold more than a thousandth of all occurrences, a thousand keys at most, are counted before anything
-moves and decided where they are. What comes back for a document is a run-length-compressed bitmap; texts are cut only
-where a caller asks for them.
+Texts are split and hashed once. Line hashes are range-partitioned by hash and document, so a line of however many
+documents lies in as many ranges as its occurrences fill, and sorted in each by hash, document and position. One pass
+over a range takes the first occurrence in each document and knows each line's documents and the last of them; what the
+ranges know of a line is put together, a row a line and range. What comes back for a document is a run-length-compressed
+bitmap; texts are cut only where a caller asks for them.
 """
 
 from __future__ import annotations
@@ -16,10 +16,6 @@ from procaudit.llm.common import BLANKS, ascii_lower, saved
 
 MIN_KEY_CHARS = 40
 MIN_DOCUMENTS = 5
-#: A key with more than all occurrences over this is decided without a shuffle of its lines; so at most that many are.
-HOT_SHARE = 1000
-#: Ranges of the hash space: the upper bits of a line's hash.
-RANGE_BITS = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -46,19 +42,11 @@ def keyed_lines(docs: DataFrame, doc_id: str, text: str, min_key_chars: int) ->
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_key_chars: int = MIN_KEY_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(_doc, _text, pos): the 0-based lines to drop."""
     lines = saved(keyed_lines(docs, doc_id, text, min_key_chars), "line-hashes")
-    hot = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > max(1, lines.count() // HOT_SHARE)).select("h1", "h2")
-    hot = saved(hot, "hot-lines")  # HOT_SHARE rows at most
-    common = lines.join(F.broadcast(hot), ["h1", "h2"])
-    decided = common.groupBy("h1", "h2", "_doc").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("_doc").alias("keeper"))
-    common = common.join(F.broadcast(decided), ["h1", "h2"])
-
-    rest = lines.join(F.broadcast(hot), ["h1", "h2"], "left_anti").withColumn("_range", F.shiftright("h1", 64 - RANGE_BITS))
-    group = Window.partitionBy("_range", "h1", "h2")
-    stream = group.orderBy("_doc", "pos")
-    rest = rest.repartition("_range").withColumn("first", F.when(F.lag("_doc").over(stream) == F.col("_doc"), 0).otherwise(1))
-    rest = rest.withColumn("n_docs", F.sum("first").over(group)).withColumn("keeper", F.max("_doc").over(group))
-    columns = ["_doc", "_text", "pos", "n_docs", "keeper"]
-    return common.select(columns).unionByName(rest.select(columns)).where((F.col("n_docs") >= min_documents) & (F.col("_doc") != F.col("keeper"))).select("_doc", "_text", "pos")
+    ranges = lines.select("h1", "h2", "_doc", "pos").repartitionByRange("h1", "h2", "_doc").sortWithinPartitions("h1", "h2", "_doc", "pos")
+    in_document = Window.partitionBy("h1", "h2", "_doc").orderBy("pos")
+    first = ranges.withColumn("place", F.row_number().over(in_document)).where("place = 1")
+    decided = first.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("_doc").alias("keeper")).where(F.col("n_docs") >= min_documents)
+    return lines.join(decided, ["h1", "h2"]).where(F.col("_doc") != F.col("keeper")).select("_doc", "_text", "pos")
 
 
 def runs_of(places: Column) -> Column:
