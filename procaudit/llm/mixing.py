@@ -1,65 +1,77 @@
 """Mixing sources to target weights.
 
 Weights are the sources' token shares to a power, normalised; the power is found by bisection so that the weights
-reach a target entropy and no source repeats more often than allowed. A token budget is then realised per source
+reach a target entropy and no source repeats more often than allowed. Sources are a table, however many, and a step of
+the bisection is one aggregate over it. A token budget is then realised per source
 and epoch: documents are dealt to blocks by hash, blocks are taken in a pseudo-random order until the source's
 budget is met, and only the block in which it is met is cut, by the order of its own documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from procaudit.llm.common import saved
 from procaudit.llm.tokens import pieces, split_words
 
 #: Share of the largest possible entropy that the weights are to reach, and epochs of a source at most.
 TARGET_ENTROPY, MAX_EPOCHS = 0.98, 4.0
 BLOCK_TOKENS = 1 << 20
 SEED = 11
-#: The plan has a row a source, which the driver makes and every task gets: so many sources at most, or an error.
-MAX_SOURCES = 100_000
+#: Points that a step of the bisection tries at once, and steps: together the power is found to 2 ** -48.
+GRID, STEPS = 64, 8
 #: Blocks of an epoch are summed up to so many parts of its permutation before they are ranked in them.
 PERMUTATION_BITS = 10
 
 
-def entropy(weights: np.ndarray) -> float:
-    w = weights[weights > 0]
-    return float(-(w * np.log(w)).sum())
+def weight_of(tokens: Column, total: float, power: Column | float) -> Column:
+    """A source's weight before it is normalised."""
+    return F.exp(F.lit(power) * F.log(tokens / total))
 
 
-def tempered(shares: np.ndarray, power: float) -> np.ndarray:
-    w = np.where(shares > 0, np.exp(power * np.log(np.where(shares > 0, shares, 1.0))), 0.0)
-    return w / w.sum() if w.sum() else w
+def measured(totals: DataFrame, total: float, budget: float, powers: list[float]) -> list[tuple[float, float, float]]:
+    """(sum of weights, entropy, repeats of the source that repeats most) at each of ``powers``, in their order."""
+    spark = totals.sparkSession
+    grid = F.broadcast(spark.createDataFrame(list(enumerate(powers)), "k int, power double"))  # GRID rows
+    w, share = weight_of(F.col("t"), total, F.col("power")), F.log(F.col("t") / total)
+    sums = totals.crossJoin(grid).select("k", "t", w.alias("w"), share.alias("share")).groupBy("k").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.col("share")).alias("l"), F.max(F.col("w") / F.col("t")).alias("r")).collect()
+    at = {r["k"]: r for r in sums}
+    return [(at[k]["z"], math.log(at[k]["z"]) - p * at[k]["l"] / at[k]["z"], budget * at[k]["r"] / at[k]["z"]) for k, p in enumerate(powers)]
 
 
-def fit_power(tokens: np.ndarray, budget: float, target_entropy: float = TARGET_ENTROPY, max_epochs: float = MAX_EPOCHS) -> float:
-    """The largest power in 0..1 whose weights have ``target_entropy`` of log(sources), or, where that would repeat
-    a source more than ``max_epochs`` times, the least power that does not; 1 where no power keeps to the limit."""
-    shares = tokens / tokens.sum()
-    most = np.log((shares > 0).sum())
+def fit_power(totals: DataFrame, budget: float, target_entropy: float = TARGET_ENTROPY, max_epochs: float = MAX_EPOCHS) -> tuple[float, float]:
+    """(power, sum of weights) for sources (t): the largest power in 0..1 whose weights have ``target_entropy`` of
+    log(sources), or, where that would repeat a source more than ``max_epochs`` times, the least power that does not; 1
+    where no power keeps to the limit."""
+    size = totals.agg(F.sum("t").alias("t"), F.count("*").alias("n")).first()
+    total, wanted = float(size["t"]), target_entropy * math.log(size["n"])
 
-    def repeats(power: float) -> float:
-        w = tempered(shares, power)
-        return float((budget * w[shares > 0] / tokens[shares > 0]).max())
+    def grid(low: float, high: float) -> list[float]:
+        return [low + (high - low) * k / GRID for k in range(GRID + 1)]
 
-    def bisect(holds) -> float:
-        """The boundary of ``holds``, true at 0 and false at 1."""
-        low, high = 0.0, 1.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if holds(mid) else (low, mid)
-        return low
+    whole = measured(totals, total, budget, grid(0.0, 1.0))
 
-    even = lambda a: entropy(tempered(shares, a)) >= target_entropy * most
-    power = 1.0 if even(1.0) else bisect(even)
-    if repeats(power) > max_epochs:
-        power = 1.0 if repeats(1.0) > max_epochs else bisect(lambda a: repeats(a) > max_epochs)
-    return power
+    def bisect(holds) -> tuple[float, float, float]:
+        """The boundary of ``holds``, true at 0 and false at 1, with the sum of weights and the repeats there."""
+        low, high, found = 0.0, 1.0, whole
+        for step in range(STEPS):
+            found = found if not step else measured(totals, total, budget, grid(low, high))
+            k = next((k for k in range(1, GRID) if not holds(found[k])), GRID) - 1
+            edges = grid(low, high)
+            low, high = edges[k], edges[k + 1]
+        return low, found[k][0], found[k][2]
+
+    even = lambda m: m[1] >= wanted - 1e-12
+    power, z, repeats = (1.0, whole[-1][0], whole[-1][2]) if even(whole[-1]) else bisect(even)
+    if repeats > max_epochs:
+        power, z, _ = (1.0, *whole[-1][::2]) if whole[-1][2] > max_epochs else bisect(lambda m: m[2] > max_epochs)
+    return power, z
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,19 +92,14 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_key"), F.col(source).cast("string").alias("_source"), F.col(text).cast("string").alias("_text"))
     sized = rows.mapInArrow(_count, "_id long, _key long, _source string, n_tokens long")
-    totals = sized.groupBy("_source").agg(F.sum("n_tokens").alias("t")).where(F.col("t") > 0).orderBy("_source").limit(MAX_SOURCES + 1).collect()  # a row a source
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    out = sized.sparkSession.createDataFrame([], "_source string, quota double, epochs int, blocks long, weight double, power double")
-    if totals:
-        tokens = np.array([r["t"] for r in totals], np.float64)
-        wanted = float(budget if budget is not None else tokens.sum())
-        power = fit_power(tokens, wanted, target_entropy, max_epochs)
-        weights = tempered(tokens / tokens.sum(), power)
-        plan = [(r["_source"], float(wanted * w), int(np.ceil(wanted * w / r["t"] - 1e-9)), int(-(-r["t"] // block_tokens)), float(w), float(power)) for r, w in zip(totals, weights, strict=True)]
-        out = sized.sparkSession.createDataFrame(plan, out.schema)
-    plan = F.broadcast(out)  # a row a source
-    dealt = sized.join(plan, sized["_source"].eqNullSafe(out["_source"])).drop(out["_source"])
+    totals = saved(sized.groupBy("_source").agg(F.sum("n_tokens").alias("t")).where(F.col("t") > 0), "source-totals")
+    total = totals.agg(F.sum("t")).first()[0]
+    wanted = float(budget if budget is not None else total or 0)
+    power, z = fit_power(totals, wanted, target_entropy, max_epochs) if total else (1.0, 1.0)
+    weight = weight_of(F.col("t"), float(total or 1), power) / z
+    plan = totals.select(F.col("_source").alias("s0"), "t", weight.alias("weight"), F.lit(power).alias("power"), (F.lit(wanted) * weight).alias("quota"), F.ceil(F.col("t") / block_tokens).alias("blocks"))
+    plan = plan.withColumn("epochs", F.ceil(F.col("quota") / F.col("t") - 1e-9).cast("int")).drop("t")
+    dealt = sized.join(plan, sized["_source"].eqNullSafe(F.col("s0"))).drop("s0")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "_id", "_key"), F.col("blocks")))
 
     epochs = F.explode(F.sequence(F.lit(1), F.greatest("epochs", F.lit(1)))).alias("epoch")

@@ -335,43 +335,92 @@ def test_lm_keys_and_counts(tmp_path):
     assert (lm.mapped_values(f"file://{tmp_path}/a/shard")(places) == values[:, places]).all()
 
 
-def test_mixing(spark):
-    from procaudit.llm.mixing import entropy, fit_power, mix_sources, tempered
+def plain_power(tokens, budget, target, limit):
+    """The power by itself, with the weights: bisection over plain sums."""
+    shares = [t / sum(tokens) for t in tokens]
+
+    def weights(p):
+        w = [s**p for s in shares]
+        return [x / sum(w) for x in w]
+
+    even = lambda p: -sum(w * math.log(w) for w in weights(p)) >= target * math.log(len(tokens)) - 1e-12
+    over = lambda p: max(budget * w / t for w, t in zip(weights(p), tokens, strict=True)) > limit
+
+    def bisect(holds):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            low, high = ((low + high) / 2, high) if holds((low + high) / 2) else (low, (low + high) / 2)
+        return low
+
+    p = 1.0 if even(1.0) else bisect(even)
+    if over(p):
+        p = 1.0 if over(1.0) else bisect(over)
+    return p, weights(p)
+
+
+def plain_mixture(spark, rows, block_tokens, budget, target, limit, seed=11):
+    """(row, epoch, block, rank) of what the mixture takes, by running sums over the permutations; Spark gives the hashes."""
+    df = spark.createDataFrame([(i, d, t, s) for i, (d, t, s) in enumerate(rows)], "row int, d long, t string, s string").withColumn("k", F.xxhash64("t"))
+    keys = {r["row"]: (r["d"], r["k"], r["h"]) for r in df.select("row", "d", "k", F.xxhash64(F.lit(seed), "d", "k").alias("h")).collect()}
+    size = [len((t or "").split()) for _, t, _ in rows]
+    sources = sorted({s for _, _, s in rows}, key=str)
+    tokens = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in sources}
+    tokens = {s: t for s, t in tokens.items() if t}
+    _, weights = plain_power(list(tokens.values()), budget or sum(tokens.values()), target, limit)
+    quota = {s: (budget or sum(tokens.values())) * w for s, w in zip(tokens, weights, strict=True)}
+    epochs = {s: max(math.ceil(quota[s] / t - 1e-9), 1) for s, t in tokens.items()}
+    most = max(epochs.values())
+    blocks = max(-(-t // block_tokens) for t in tokens.values())
+    turns = {(r["e"], r["b"]): r["h"] for r in spark.range(blocks).selectExpr("id as b").crossJoin(spark.range(1, most + 1).selectExpr("cast(id as int) as e")).select("e", "b", F.xxhash64(F.lit(seed), "e", "b").alias("h")).collect()}
+    order = {(r["e"], r["row"]): r["h"] for r in df.crossJoin(spark.range(1, most + 1).selectExpr("cast(id as int) as e")).select("e", "row", F.xxhash64(F.lit(seed), "e", "d", "k").alias("h")).collect()}
+    taken = []
+    for s, t in tokens.items():
+        mine = collections.defaultdict(list)
+        for i, r in enumerate(rows):
+            if r[2] == s:
+                mine[keys[i][2] % -(-t // block_tokens)].append(i)
+        done = 0
+        for e in range(1, epochs[s] + 1):
+            for rank, b in enumerate(sorted(mine, key=lambda b: (turns[e, b], b)), 1):
+                for i in sorted(mine[b], key=lambda i: (order[e, i], *keys[i][:2])):
+                    if done < quota[s]:
+                        taken.append((rows[i][0], s, size[i], e, b, rank))
+                    done += size[i]
+    return sorted(taken, key=str)
+
+
+@pytest.mark.parametrize("budget, target, limit, block", [(None, 0.9, 99.0, 200), (9000, 0.98, 4.0, 300), (20_000, 0.999, 3.0, 1 << 20), (40, 0.5, 99.0, 50)])
+def test_mixing_takes_what_plain_sums_take(spark, budget, target, limit, block):
+    """Nulls, blanks, a very long text, repeated rows and a source that holds most rows."""
+    from procaudit.llm.mixing import mix_sources
 
     rng = random.Random(8)
-    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 30))), s) for i, s in enumerate(["a"] * 300 + ["b"] * 60 + ["c"] * 20 + [None] * 10)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    tokens = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("a", "b", "c", None)}
-    out = mix_sources(df, block_tokens=200, target_entropy=0.9, max_epochs=99.0).collect()
-    shares = np.array(list(tokens.values()), float)
-    power = fit_power(shares, shares.sum(), 0.9, 99.0)
-    weights = tempered(shares / shares.sum(), power)
-    assert entropy(weights) >= 0.9 * math.log(4) - 1e-6 and math.isclose(out[0]["power"], power, rel_tol=1e-9)
-
-    def spread(p):  # by itself: the entropy of the shares to a power
-        raised = [(t / sum(tokens.values())) ** p for t in tokens.values()]
-        return -sum(x / sum(raised) * math.log(x / sum(raised)) for x in raised)
-
-    assert spread(power) >= 0.9 * math.log(4) - 1e-9 > spread(power + 1e-6) - 2e-9
-    assert np.allclose(weights, [t**power / sum(x**power for x in tokens.values()) for t in tokens.values()])
-    ranks = collections.defaultdict(set)
-    for r in out:
-        ranks[r["source"], r["epoch"]].add((r["block_rank"], r["block"]))
-    for taken in ranks.values():  # each epoch takes blocks in the order of a permutation, from its first on
-        assert len({k for k, _ in taken}) == len({b for _, b in taken}) == len(taken)
-    again = mix_sources(df.unionByName(df.limit(3)).withColumn("epoch", F.lit("x")), block_tokens=200).collect()
-    assert {r["doc_id"] for r in again} <= {i for i, _, _ in rows}
-    for (s, t), w in zip(tokens.items(), weights, strict=True):
-        mine = [r for r in out if r["source"] == s]
-        got, quota = sum(r["n_tokens"] for r in mine), shares.sum() * w
-        assert quota <= got < quota + 31 and max(r["epoch"] for r in mine) == math.ceil(quota / t)
-        whole = {r["doc_id"] for r in mine if r["epoch"] == 1}
-        if quota >= t:
-            assert whole == {i for i, x, z in rows if z == s}
-    assert max(collections.Counter((r["doc_id"], r["epoch"]) for r in out).values()) == 1
-    assert mix_sources(df.limit(0)).count() == 0 and mix_sources(df.select("doc_id", F.lit(None).cast("string").alias("text"), "source")).count() == 0
-    limited = fit_power(shares, shares.sum() * 8, 0.999, 9.0)
-    assert (shares.sum() * 8 * tempered(shares / shares.sum(), limited) / shares).max() <= 9.0 + 1e-6
+    rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 30))), s) for i, s in enumerate(["a"] * 300 + ["b"] * 60 + ["c"] * 20 + [None] * 10)]
+    rows += [(900, None, "a"), (901, "", "b"), (902, "v " * 5000, "c"), (903, "only blanks: none", "d"), (904, " ", "e"), rows[3], rows[3]]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, epoch int, weight string").repartition(3)
+    out = mix_sources(df, budget=budget, block_tokens=block, target_entropy=target, max_epochs=limit).collect()
+    got = sorted(((r["doc_id"], r["source"], r["n_tokens"], r["epoch"], r["block"], r["block_rank"]) for r in out), key=str)
+    assert got == plain_mixture(spark, rows, block, budget, target, limit)
+    tokens = {}
+    for _, t, s in rows:
+        tokens[s] = tokens.get(s, 0) + len((t or "").split())
+    tokens = {s: t for s, t in tokens.items() if t}
+    power, weights = plain_power(list(tokens.values()), budget or sum(tokens.values()), target, limit)
+    assert all(math.isclose(r["power"], power, abs_tol=1e-9) for r in out)
+    assert all(math.isclose(r["weight"], dict(zip(tokens, weights, strict=True))[r["source"]], rel_tol=1e-6) for r in out)
+
+
+def test_mixing_of_no_tokens_and_of_many_sources(spark):
+    from procaudit.llm.mixing import mix_sources
+
+    kind = "doc_id long, text string, source string"
+    assert mix_sources(spark.createDataFrame([], kind)).count() == 0
+    assert mix_sources(spark.createDataFrame([(1, None, "a"), (2, " ", None)], kind)).count() == 0
+    one = mix_sources(spark.createDataFrame([(1, "a b", "s")], kind)).collect()
+    assert [(r["doc_id"], r["epoch"], r["weight"]) for r in one] == [(1, 1, 1.0)]
+    hosts = spark.range(150_000).select("id", F.expr("if(id % 3 = 0, 'a b c', 'a')").alias("text"), F.concat(F.lit("host"), F.col("id").cast("string")).alias("source")).withColumnRenamed("id", "doc_id")
+    out = mix_sources(hosts, max_epochs=1e9).agg(F.count_distinct("source").alias("n"), F.min("power").alias("power"), F.sum(F.when(F.col("epoch") == 1, F.col("weight"))).alias("w")).first()
+    assert out["n"] == 150_000 and out["power"] == 1.0 and math.isclose(out["w"], 1.0, rel_tol=1e-9)
 
 
 def test_pieces_keep_every_row():
