@@ -10,7 +10,7 @@ from procaudit.operators import templates as P
 from procaudit.plans import registry as R
 from procaudit.plans.registry import query
 from procaudit.sources.fixtures import table
-from procaudit.sources.tables import BILLING, TEMPLATES, conformed
+from procaudit.sources.tables import BILLING, TEMPLATES, conformed, scratch_path
 
 ACTIVE = "estado = 1 AND codigo IS NOT NULL AND codigo <> ''"
 
@@ -21,13 +21,25 @@ def detail(spark, sf_dir):
 
 @query("SELECT * FROM audit_detail", "audit_detail")
 def read_history(spark, sf_dir):
-    return conformed(detail(spark, sf_dir), "audit_detail")
+    from procaudit.sources import tables as S
+
+    return S.read_history(spark, stored(spark, sf_dir, ("audit_detail",)) + "/audit_detail.parquet")
+
+
+def stored(spark, sf_dir, names):
+    """The derived tables written to a folder, as the readers take them."""
+    folder = scratch_path(spark, "tables")
+    for name in names:
+        conformed(table(spark, sf_dir, name), name).write.parquet(f"{folder}/{name}.parquet")
+    return folder
 
 
 def _counted(spark, sf_dir, keys):
+    from procaudit.sources.tables import read_group
+
     out = None
-    for name, key in keys.items():
-        one = conformed(table(spark, sf_dir, name), name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct(key).alias("keys"))
+    for name, df in read_group(spark, tuple(keys), stored(spark, sf_dir, keys)).items():
+        one = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct(keys[name]).alias("keys"))
         out = one if out is None else out.union(one)
     return out
 
@@ -210,7 +222,6 @@ def ordered_limit(spark, sf_dir):
 @query(f"WITH {FEES} SELECT *, (SELECT count(*) FROM fees) AS training_rows FROM ({_majority('fees', 'porcentaje_norm')})", "audit_detail")
 def write_model(spark, sf_dir):
     """The fee majority model written as a version to the shared folder and read back."""
-    from procaudit.sources.tables import scratch_path
     from procaudit.sources.versions import read_version, write_version
 
     rows = H.fee_training_set(detail(spark, sf_dir))

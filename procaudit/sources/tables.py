@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procaudit.sources.versions import files_of
+
 SCHEMAS = {
     "audit_detail": "id string, id_agenda long, mes_plano string, fecha date, updated_at timestamp_ntz, id_empresa string, id_seguro long, estado int, codigo string, codigo_grupo_auditor string, porcentaje string, tiempo_anestesia string, honorario_auditor string, nombre_procedimiento string, procedimiento_auditor string, observacion_auditor string, hallazgo string, conclusion string",
     "archivo_plano_cabecera": "id long, id_hc long, mes_plano string, id_empresa string, estado int",
@@ -21,36 +23,83 @@ BILLING = ("archivo_plano_cabecera", "archivo_plano_detalle", "historiaclinica")
 TEMPLATES = ("ap_plantilla", "ap_plantilla_items", "ap_procedimiento")
 
 
+#: The numbers by which a table's rows are dealt to JDBC partitions.
+SPLIT = {"audit_detail": "id_agenda", "archivo_plano_cabecera": "id", "archivo_plano_detalle": "id_ap_cabecera", "historiaclinica": "hcid", "ap_plantilla_items": "procedimiento", "ap_procedimiento": "id"}
+ROWS_PER_PARTITION = 500_000
+
+
 def conformed(df: DataFrame, name: str) -> DataFrame:
     """``df`` with the columns and types of the table called ``name``."""
     return df.to(SparkSession.active().createDataFrame([], SCHEMAS[name]).schema)
 
 
-def read_table(spark: SparkSession, name: str, path: str | None = None, jdbc: dict | None = None, split_on: str | None = None) -> DataFrame:
-    """One table from Parquet at ``path`` or over JDBC; ``split_on`` with its bounds makes the JDBC read parallel."""
-    if path is not None:
-        return spark.read.schema(SCHEMAS[name]).parquet(path)
-    options = {"dbtable": name, **(jdbc or {}), **({"partitionColumn": split_on} if split_on else {})}
-    return conformed(spark.read.format("jdbc").options(**options).load(), name)
+def read_jdbc(spark: SparkSession, name: str, jdbc: dict, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """A table over JDBC (``jdbc``: url, driver, user and so on; dbtable where it is not called ``name``), in partitions
+    of about ``rows_per_partition`` rows: the source is asked once for the least and largest number of the table's split
+    column and for its rows, and the range is cut evenly. Rows without that number come with the first partition. A
+    filter on the result that the source can evaluate is sent to it."""
+    base = {"dbtable": name, "preferTimestampNTZ": "true"} | jdbc
+    load = lambda **more: spark.read.format("jdbc").options(**{k: v for k, v in (base | more).items() if v is not None}).load()
+    column = SPLIT.get(name)
+    if column is None:
+        return conformed(load(), name)
+    quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(base["url"]).quoteIdentifier
+    asked = f"SELECT MIN({quoted(column)}) AS {quoted('least')}, MAX({quoted(column)}) AS {quoted('most')}, COUNT(*) AS {quoted('n')} FROM {base['dbtable']}"
+    low, high, n = load(dbtable=None, query=asked).first()
+    parts = -(-n // rows_per_partition)
+    if parts < 2 or low is None or low == high:
+        return conformed(load(), name)
+    return conformed(load(partitionColumn=column, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(parts)), name)
+
+
+def read_table(spark: SparkSession, name: str, path: str | None = None, jdbc: dict | None = None, **options) -> DataFrame:
+    """One table with its fixed schema, from Parquet at ``path`` or over JDBC."""
+    return spark.read.schema(SCHEMAS[name]).parquet(path) if path is not None else read_jdbc(spark, name, jdbc or {}, **options)
 
 
-def read_history(spark: SparkSession, path: str | None = None, jdbc: dict | None = None) -> DataFrame:
-    return read_table(spark, "audit_detail", path, jdbc, "id_agenda" if jdbc and "lowerBound" in jdbc else None)
+def read_history(spark: SparkSession, path: str | None = None, jdbc: dict | None = None, **options) -> DataFrame:
+    return read_table(spark, "audit_detail", path, jdbc, **options)
 
 
-def read_group(spark: SparkSession, names: tuple[str, ...], folder: str | None = None, jdbc: dict | None = None) -> dict[str, DataFrame]:
+def read_group(spark: SparkSession, names: tuple[str, ...], folder: str | None = None, jdbc: dict | None = None, **options) -> dict[str, DataFrame]:
     """``BILLING`` or ``TEMPLATES`` tables by name."""
-    return {n: read_table(spark, n, f"{folder}/{n}.parquet" if folder else None, jdbc) for n in names}
+    return {n: read_table(spark, n, f"{folder}/{n}.parquet" if folder else None, jdbc, **options) for n in names}
 
 
-def apply_updates(target: DataFrame, updates: DataFrame, path: str | None = None) -> DataFrame:
+def apply_updates(target: DataFrame, updates: DataFrame) -> DataFrame:
     """``target`` with the changed ``tiempo_anestesia`` and ``honorario_auditor`` of ``updates`` (id, new_time,
-    new_fee); written as a new version by month under ``path`` only where one is given, so a dry run is the default."""
+    new_fee): the dry run."""
     new = updates.select(F.col("id").alias("u_id"), "new_time", "new_fee")
-    out = target.join(new, F.col("id") == F.col("u_id"), "left").withColumns({"tiempo_anestesia": F.coalesce("new_time", "tiempo_anestesia"), "honorario_auditor": F.coalesce("new_fee", "honorario_auditor")}).select(target.columns)
-    if path is not None:
-        out.write.partitionBy("mes_plano").parquet(path)
-    return out
+    changed = {"tiempo_anestesia": F.coalesce("new_time", "tiempo_anestesia"), "honorario_auditor": F.coalesce("new_fee", "honorario_auditor")}
+    return target.join(new, F.col("id") == F.col("u_id"), "left").withColumns(changed).select(target.columns)
+
+
+def write_history(history: DataFrame, path: str) -> None:
+    """The history as a table with a folder a month; large months are split over files."""
+    conformed(history, "audit_detail").hint("rebalance", "mes_plano").write.partitionBy("mes_plano").parquet(path)
+
+
+def write_updates(spark: SparkSession, path: str, updates: DataFrame, run: str) -> DataFrame:
+    """Applies ``updates`` to the table that ``write_history`` made at ``path`` and returns (mes_plano) of the months
+    that it wrote anew; the files of all other months stay as they are.
+
+    The new rows of these months are staged as a whole beside the table first, under ``run``, the name of this run. Only
+    then are the months overwritten from there. A run that failed is to be called again under its name: whatever state
+    it left the months in, they are written from what was staged, so the table comes out the same. One run at a time."""
+    files, where, _ = files_of(spark, path)
+    staged = f"{path}/_updates/{run}"
+    if not files.util().exists(where(f"{staged}/_SUCCESS")):
+        history = read_history(spark, path)
+        new = updates.where("new_time IS NOT NULL OR new_fee IS NOT NULL").select("id", "new_time", "new_fee")
+        months = history.join(new, "id", "left_semi").select(F.col("mes_plano").alias("month")).distinct()
+        rows = history.join(F.broadcast(months), F.col("mes_plano").eqNullSafe(F.col("month")), "left_semi")  # a row a month
+        apply_updates(rows, new).write.mode("overwrite").parquet(staged)
+    rows = spark.read.schema(SCHEMAS["audit_detail"]).parquet(staged)
+    months = rows.select("mes_plano").distinct().collect()
+    rows.hint("rebalance", "mes_plano").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mes_plano").parquet(path)
+    files.delete(where(staged), True)
+    spark.catalog.refreshByPath(path)
+    return spark.createDataFrame(months, "mes_plano string")
 
 
 _unset: dict[str, str] = {}
