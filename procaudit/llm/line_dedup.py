@@ -46,6 +46,7 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     in_document = Window.partitionBy("h1", "h2", "_doc").orderBy("pos")
     first = ranges.withColumn("place", F.row_number().over(in_document)).where("place = 1")
     decided = first.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("_doc").alias("keeper")).where(F.col("n_docs") >= min_documents)
+    decided = saved(decided, "line-keepers")  # a plain table on this side, so that Spark can split a line of many documents
     return lines.join(decided, ["h1", "h2"]).where(F.col("_doc") != F.col("keeper")).select("_doc", "_text", "pos")
 
 
