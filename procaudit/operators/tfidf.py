@@ -39,7 +39,7 @@ FOUND = "q_id {q_id}, id {id}, score double"
 
 
 def _blocks(df: DataFrame, key: str, value: str, blocks: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks))).select(name, F.col(key).alias("id"), value)
+    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks))).select(name, F.col(key).alias("id"), F.col(value).alias(value))
 
 
 def _block_pairs(queries: DataFrame, train: DataFrame, value: str, score, blocks: int | None) -> DataFrame:

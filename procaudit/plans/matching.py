@@ -194,6 +194,18 @@ def nn_embeddings(spark, sf_dir):
     return I.nn_embeddings(v.where("id % 20 = 0"), v).withColumn("score", F.round("score", 4))
 
 
+@query()
+def nn_embeddings_index(spark, sf_dir):
+    """The same queries by an index of lists: what it finds, and the best score of the exact search beside it."""
+    from procaudit.operators.vector_index import build_index
+
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index = build_index(v)
+    found, exact = index.search(v.where("id % 20 = 0")), I.nn_embeddings(v.where("id % 20 = 0"), v)
+    best = exact.select("q_id", F.col("score").alias("best"))
+    return best.join(found, "q_id", "left").select("q_id", "id", F.round("score", 4).alias("score"), F.round("best", 4).alias("best"), F.coalesce(F.col("score") == F.col("best"), F.lit(False)).alias("hit"), F.lit(index.probes).alias("probes"), F.lit(len(index.centroids)).alias("lists"))
+
+
 INDEX = f"{JOINED}, {PROCS}, {KEPT}, {ASSEMBLED}, tp AS (SELECT cod_plantilla AS id, texto AS txt FROM texts WHERE texto <> ''), {tfidf_sql('tp', 'i', 1, 100_000)}"
 SEARCH = f"""{INDEX}, {REQ}, {tfidf_sql('q', 'u', 1, 1, 'i_v')}, ss AS (SELECT u_w.id AS q_id, i_w.id, sum(u_w.weight * i_w.weight) AS score FROM u_w JOIN i_w USING (gram) GROUP BY ALL),
  top AS (SELECT q_id, id, round(score, 4) AS score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 10) DESC, id) AS place FROM ss) WHERE place <= 3)"""
