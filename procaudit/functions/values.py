@@ -81,8 +81,7 @@ def normalize_scalar(value: Column) -> Column:
 
 def _last_of_each(pairs: Column) -> Column:
     """Of (k, v) structs with equal k the last one, in the order of the first."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1))
+    return let(pairs, lambda ps: F.transform(F.array_distinct(F.transform(ps, lambda p: p["k"])), lambda k: F.element_at(F.filter(ps, lambda p: p["k"] == k), -1)))
 
 
 def _pairs(text: Column, pattern: str) -> Column:
@@ -93,9 +92,8 @@ def _pairs(text: Column, pattern: str) -> Column:
 def parse_fees_lenient(fees: Column, codes: Column) -> Column:
     """(k, v) of every ``code(value)`` with both non-blank, then ``100`` for each of ``codes`` that has none."""
     found = F.transform(_pairs(F.coalesce(fees, F.lit("")), r"([^(),+]+)\(([^()]*)\)"), lambda p: F.struct(strip(p["k"]).alias("k"), strip(p["v"]).alias("v")))
-    found = _last_of_each(F.filter(found, lambda p: (p["k"] != "") & (p["v"] != "")))
-    missing = F.array_except(codes, F.transform(found, lambda p: p["k"]))
-    return F.concat(found, F.transform(missing, lambda c: F.struct(c.alias("k"), F.lit("100").alias("v"))))
+    missing = lambda ps: F.array_except(codes, F.transform(ps, lambda p: p["k"]))
+    return let(_last_of_each(F.filter(found, lambda p: (p["k"] != "") & (p["v"] != ""))), lambda ps: F.concat(ps, F.transform(missing(ps), lambda c: F.struct(c.alias("k"), F.lit("100").alias("v")))))
 
 
 def parse_fees_numeric(fees: Column) -> Column:
@@ -104,6 +102,13 @@ def parse_fees_numeric(fees: Column) -> Column:
     return _last_of_each(F.filter(found, lambda p: (p["k"] != "") & (p["v"] != "")))
 
 
+def fee_of(fees: Column, code: Column) -> Column:
+    """What ``parse_fees_numeric`` has for one ``code``: the values of the others are not looked at."""
+    mine = F.filter(_pairs(fees, r"([0-9]+)\s*\(\s*([0-9,.]+)\s*\)"), lambda p: digits(p["k"]) == code)
+    values = F.filter(F.transform(mine, lambda p: normalize_number(p["v"])), lambda v: v != "")
+    return F.try_element_at(values, F.lit(-1))
+
+
 def value_of(pairs: Column, code: Column) -> Column:
     return F.get(F.filter(pairs, lambda p: p["k"] == code), F.lit(0))["v"]
 
