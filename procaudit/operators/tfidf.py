@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procaudit.functions.text import char_ngrams
+from procaudit.sources.tables import saved
 
 
 def gram_counts(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -179,3 +180,47 @@ def score_with_encoder(rows: DataFrame, make_encoder, width: int, batch_size: in
 def argmax_decode(logits: DataFrame) -> DataFrame:
     """(id, clase): the class of the largest logit, of equal ones the first."""
     return logits.groupBy("id").agg(F.max_by("clase", F.struct("logit", -F.col("idx"))).alias("clase"))
+
+
+#: Vectors of a block of an index with bounds.
+BOUND_ROWS = 128
+
+
+def _above_zero(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    return _sparse_best(max(len(right), 1), 0.0)(left, right)
+
+
+class BoundedIndex:
+    """Tidy (id, gram, weight) vectors in blocks of alike ones, with the largest weight of each gram in each block: the
+    product of a query with these is a bound that no vector of the block exceeds."""
+
+    def __init__(self, vectors: DataFrame, block_rows: int = BOUND_ROWS):
+        # vectors with the same heaviest gram come next to each other, so their bounds are tight
+        heads = vectors.groupBy("id").agg(F.max_by("gram", F.struct("weight", "gram")).alias("head"))
+        blocks = max(-(-vectors.select("id").distinct().count() // block_rows), 1)
+        self.blocks = saved(heads.repartitionByRange(blocks, "head", "id").select("id", F.spark_partition_id().alias("block")), "index-blocks")
+        self.vectors = saved(_packed(vectors).join(self.blocks, "id"), "index-vectors")
+        most = vectors.join(self.blocks, "id").groupBy("block", "gram").agg(F.max("weight").alias("weight"))
+        self.bounds = saved(_packed(most.withColumnRenamed("block", "id")), "index-bounds")
+
+    def _scores(self, pairs: DataFrame, queries: DataFrame, n: int, parts: int) -> DataFrame:
+        """The ``n`` best of each block for its queries; many queries of one block are dealt to several tasks."""
+        left = queries.join(pairs.select(F.col("q_id").alias("id"), "block"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+        right = self.vectors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        kinds = {"q_id": queries.schema["id"].dataType.simpleString(), "id": self.vectors.schema["id"].dataType.simpleString()}
+        return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(_sparse_best(n, 0.0), FOUND.format(**kinds))
+
+    def search(self, queries: DataFrame, n: int = 3) -> tuple[DataFrame, DataFrame]:
+        """(q_id, id, score) with each query's ``n`` best vectors (and others), exactly as ``cosine_top`` finds them,
+        and (q_id, block, bound, done) of all pairs whose bound is above 0: ``done`` is 0 where a block was skipped, as
+        its bound is below the ``n``-th score that the query has from the block with its largest bound."""
+        packed = saved(_packed(queries), "index-queries")
+        parts = max(-(-packed.count() // BLOCK_ROWS), 1)
+        bounds = saved(_block_pairs(packed, self.bounds, "v", _above_zero, None).withColumnsRenamed({"id": "block", "score": "bound"}), "index-pairs")
+        first = saved(bounds.groupBy("q_id").agg(F.max_by("block", F.struct("bound", "block")).alias("block")), "index-first")
+        begun = saved(self._scores(first, packed, n, parts), "index-begun")
+        least = begun.groupBy("q_id").agg(F.when(F.count("*") >= n, F.min("score")).otherwise(0.0).alias("least"))
+        rest = bounds.join(first.select("q_id", F.col("block").alias("had")), "q_id").join(least, "q_id", "left")
+        reached = F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-9
+        judged = saved(rest.withColumn("done", F.when(F.col("block") == F.col("had"), 1).when(reached, 2).otherwise(0)).select("q_id", "block", "bound", "done"), "index-judged")
+        return begun.unionByName(self._scores(judged.where("done = 2"), packed, n, parts)), judged

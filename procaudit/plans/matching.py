@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from procaudit.functions import text as T
@@ -242,6 +243,26 @@ def template_top3(spark, sf_dir):
     return searched(spark, sf_dir).select("q_id", "id", "score", "place")
 
 
+@query(f"WITH {SEARCH} SELECT * FROM top", *SEARCHED)
+def template_top3_bounded(spark, sf_dir):
+    """The same by an index with bounds, which skips the blocks of templates that cannot reach a request's third score."""
+    return I.top_matches(bounded(spark, sf_dir)[0]).select("q_id", "id", "score", "place")
+
+
+@query()
+def template_skips(spark, sf_dir):
+    """Pairs of a request and a block of templates: those searched first, those whose bound reached the third score, and
+    those skipped."""
+    kind = F.element_at(F.array(*map(F.lit, ("skipped", "first", "reached"))), F.col("done") + 1).alias("kind")
+    pairs = bounded(spark, sf_dir)[1].groupBy(kind).agg(F.count("*").alias("pairs"))
+    return pairs.withColumn("share", F.round(F.col("pairs") / F.sum("pairs").over(Window.partitionBy()), 4))  # three rows
+
+
+def bounded(spark, sf_dir):
+    _, vocabulary, vectors = indexed(spark, sf_dir)
+    return I.BoundedIndex(saved(vectors, "templates")).search(I.tfidf_transform(I.gram_counts(requests(spark, sf_dir)), vocabulary))
+
+
 @query(f"WITH {SEARCH} SELECT q_id, norm AS codigo, max(score) AS score FROM top JOIN kept ON kept.cod_plantilla = top.id WHERE score >= 0.18 GROUP BY ALL", *SEARCHED)
 def template_code_scores(spark, sf_dir):
     codes = assembled(spark, sf_dir).select(F.col("cod_plantilla").alias("id"), F.explode("codigos").alias("codigo"))

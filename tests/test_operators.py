@@ -105,6 +105,27 @@ def test_blocks_grow_with_the_rows(spark, monkeypatch):
     assert sizes.value == 0
 
 
+def test_bounded_search_finds_what_the_full_one_finds(spark, monkeypatch):
+    """Groups of alike texts, copies that tie, texts of no known gram; blocks that cannot reach the third score are skipped."""
+    rng = random.Random(2)
+    topics = [[f"{a}{b}word{a}" for b in "abcdefgh"] for a in "qwrtypsdfg"]
+    texts = [(i, " ".join(rng.choices(topics[i % 10], k=6)) + (" shared" if i % 2 else "")) for i in range(300)] + [(300 + i, "qaword qbword") for i in range(5)]
+    asked = [(i, t) for i, t in texts if i % 7 == 0] + [(1000, "zzzz"), (1001, ""), (1002, "shared")]
+    rows, q = (spark.createDataFrame(x, "id long, text string") for x in (texts, asked))
+    counts = I.gram_counts(rows)
+    vocabulary = I.tfidf_fit(counts, len(texts), 1)
+    vectors, queries = I.tfidf_transform(counts, vocabulary), I.tfidf_transform(I.gram_counts(q), vocabulary)
+    key = lambda df: sorted((r["q_id"], r["place"], r["id"], r["score"]) for r in I.top_matches(df).collect())
+    full = key(I.cosine_top(queries, vectors))
+    index = I.BoundedIndex(vectors, 20)
+    found, judged = index.search(queries)
+    assert key(found) == full and len(full) > 100
+    done = {r["done"]: r["n"] for r in judged.groupBy("done").agg(F.count("*").alias("n")).collect()}
+    assert done[0] > 0.5 * sum(done.values()) and index.blocks.select("block").distinct().count() > 10
+    monkeypatch.setattr(I, "BLOCK_ROWS", 9)
+    assert key(index.search(queries)[0]) == full
+
+
 def test_columns_reach_their_minimum(monkeypatch):
     import numpy as np
 
