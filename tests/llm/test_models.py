@@ -4,7 +4,9 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -37,8 +39,6 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_topk_is_exact(spark):
     from procaudit.llm.topk import exact_topk
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=5).astype("float32")], 1) for i in range(120)]
     rows[7] = (7, rows[3][1], 1)
@@ -102,3 +102,19 @@ def test_quality_keeps_clean_texts(spark):
     kept = keep_good(df)
     assert kept.columns == df.columns and kept.count() == sum(got[d] for d, _ in rows)
     assert score_quality(df.limit(0)).count() == 0
+
+
+def test_topk_of_large_components_and_repeated_queries(spark):
+    """Exact beyond the products that 64 bits hold, an error where the result is beyond; of repeated queries the least."""
+    from pyspark.errors import PythonException
+
+    from procaudit.llm.topk import exact_topk
+
+    kind = "vec_id long, embedding array<double>"
+    top = lambda rows: [tuple(r) for r in exact_topk(spark.createDataFrame(rows, kind), F.col("vec_id") == 0, 2).orderBy("rank").collect()]
+    x = 2.0**26
+    assert top([(0, [x, x, 1.0]), (1, [x, -x, 3.0]), (2, [x, -x, 4.0])]) == [(0, 1, 2, 4 * 65536), (0, 2, 1, 3 * 65536)]
+    for bad in (1e8, 1e30):
+        with pytest.raises(PythonException):
+            top([(0, [bad, bad]), (1, [bad, bad])])
+    assert top([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 2.0]), (2, [5.0, 1.0])]) == [(0, 1, 1, 2 * 65536), (0, 2, 2, 65536)]
