@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procaudit.functions.text import char_ngrams
+from procaudit.functions.values import normalize_time
 from procaudit.sources.tables import saved
 
 
@@ -182,6 +183,14 @@ def argmax_decode(logits: DataFrame) -> DataFrame:
     return logits.groupBy("id").agg(F.max_by("clase", F.struct("logit", -F.col("idx"))).alias("clase"))
 
 
+def hours_by_encoder(rows: DataFrame, make_encoder, classes: tuple[str, ...], batch_size: int = 64, text: str = "text") -> DataFrame:
+    """``rows`` with ``tiempo``: the normalized class of the largest logit, of equal ones the first. ``make_encoder()``
+    opens a model once a worker and returns a function from texts to logits, a column a class; a null text is empty."""
+    scored = score_with_encoder(rows.withColumn("_text", F.coalesce(text, F.lit(""))), make_encoder, len(classes), batch_size, "_text")
+    names = F.array(*[normalize_time(F.lit(c)) for c in classes])
+    return scored.withColumn("tiempo", F.element_at(names, F.array_position("vector", F.array_max("vector")).cast("int"))).drop("vector", "_text")
+
+
 #: Vectors of a block of an index with bounds.
 BOUND_ROWS = 128
 

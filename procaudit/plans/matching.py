@@ -333,6 +333,16 @@ def score_with_encoder(spark, sf_dir):
     return I.score_with_encoder(requests(spark, sf_dir), _letters, 10).select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+ENCODED = ("1", "2", "3", "4", "5", "6", "7", "8", "24", "2,0")
+
+
+@query(f"""WITH {REQ}, l AS (SELECT id, list_transform(['a', 'e', 'i', 'n', 'o', 'r', 's', 't', 'd', 'l'], lambda c: length(txt) - length(replace(txt, c, ''))) AS n FROM q)
+ SELECT id, ['1', '2', '3', '4', '5', '6', '7', '8', '24', '2'][list_position(n, list_max(n))] AS tiempo FROM l""", "solicitudes")
+def hours_by_encoder(spark, sf_dir):
+    """The class of the largest of the stand-in's ten outputs."""
+    return I.hours_by_encoder(requests(spark, sf_dir), _letters, ENCODED).select("id", "tiempo")
+
+
 PREDICTED = f"""{SEARCH}, {LABELS}, {FEES}, {TIMES}, fm AS ({_majority('fees', 'porcentaje_norm')}), tm AS ({_majority('times', 'tiempo_norm')}),
  pc AS (SELECT id, {R.code('c')} AS codigo, i FROM (SELECT id, unnest({R.codes('grupo')}) AS c, unnest(range(len({R.codes('grupo')}))) AS i FROM lab JOIN q USING (id)) ),
  po AS (SELECT id, string_agg(codigo, ',' ORDER BY codigo) AS codigos, string_agg(codigo || '(' || coalesce(fm.value, '100') || ')', ',' ORDER BY codigo) AS honorario, max(CAST(coalesce(tm.value, '0') AS DOUBLE)) AS m FROM pc LEFT JOIN fm ON fm.codigo_norm = codigo LEFT JOIN tm ON tm.codigo_norm = codigo GROUP BY id),

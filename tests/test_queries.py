@@ -9,7 +9,7 @@ from procaudit import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data are not here")
-QUICK = ["code_report", "training_set", "plan_updates", "normalize_percent", "parse_fees_lenient", "threshold_sweep", "class_report", "tfidf_fit", "template_top3", "nn_predict", "match_history", "predict_from_history", "predict_batch", "request_candidates", "optional_filters", "nn_embeddings", "apply_updates", "actual_vs_predicted", "code_set_diff", "multilabel_predict", "write_model", "predict_stored_scores", "history_score", "best_candidate"]
+QUICK = ["code_report", "training_set", "plan_updates", "normalize_percent", "parse_fees_lenient", "threshold_sweep", "class_report", "tfidf_fit", "template_top3", "nn_predict", "match_history", "predict_from_history", "predict_batch", "request_candidates", "optional_filters", "nn_embeddings", "apply_updates", "actual_vs_predicted", "code_set_diff", "multilabel_predict", "write_model", "predict_stored_scores", "history_score", "best_candidate", "hours_by_encoder", "template_top3_bounded"]
 
 
 def test_registry():
