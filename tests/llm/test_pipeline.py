@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data are not
 
 def test_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] and set(queries.oracle_sql()) <= set(names)
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
