@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -21,12 +22,18 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
 
 
-def _fold(form: str, unescape: bool):
+#: What a tag is, and what is left of a cleaned text.
+TAG, NOT_WORD = "<[^>]+>", "[^a-z0-9]+"
+
+
+def _fold(form: str, markup: bool):
+    """Combining marks dropped; with ``markup`` entities are resolved and tags blanked before. Nulls stay null."""
+
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
         def one(text: str) -> str:
-            if unescape and "&" in text:
-                text = html.unescape(text)
+            if markup:
+                text = re.sub(TAG, " ", html.unescape(text))
             return text if text.isascii() else "".join(c for c in unicodedata.normalize(form, text) if unicodedata.category(c) != "Mn")
 
         return texts.map(one, na_action="ignore")
@@ -34,20 +41,18 @@ def _fold(form: str, unescape: bool):
     return fold
 
 
-def fold_accents(text: Column, form: str = "NFD", unescape: bool = False) -> Column:
-    """Combining marks dropped; ASCII texts without an entity skip Python."""
+def fold_accents(text: Column, form: str = "NFD") -> Column:
+    """Combining marks dropped. ASCII texts go to Python as nulls, so only the others are copied and worked on there."""
     plain = F.length(text) == F.octet_length(text)
-    if unescape:
-        plain = plain & ~F.contains(text, F.lit("&"))
-    return F.when(plain, text).otherwise(_fold(form, unescape)(text))
+    return F.when(plain, text).otherwise(_fold(form, False)(F.when(~plain, text)))
 
 
 def clean_text(text: Column) -> Column:
-    """Entities resolved, tags blanked, accents dropped, lower case, only a-z and 0-9 left, single spaces."""
-    plain = F.when(F.contains(text, F.lit("&")), _fold("NFD", True)(text)).otherwise(text)
-    untagged = F.regexp_replace(plain, "<[^>]+>", " ")
-    folded = F.lower(fold_accents(untagged))
-    return F.coalesce(F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " ")), F.lit(""))
+    """Entities resolved, tags blanked, accents dropped, lower case, only a-z and 0-9 left, single spaces. One pass of
+    Python, for the texts that have an entity or are not ASCII; the others are nulls there."""
+    plain = (F.length(text) == F.octet_length(text)) & ~F.contains(text, F.lit("&"))
+    folded = F.when(plain, F.regexp_replace(text, TAG, " ")).otherwise(_fold("NFD", True)(F.when(~plain, text)))
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(folded), NOT_WORD, " ")), F.lit(""))
 
 
 def content_words(cleaned: Column) -> Column:

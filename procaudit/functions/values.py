@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from procaudit.functions.text import strip
 
+#: What a plain decimal is, and what stands for a blank percentage and for blank hours.
 NUMBER = r"^[+-]?[0-9]*\.?[0-9]*([eE][+-]?[0-9]+)?$"
 DEFAULT_PERCENT, DEFAULT_TIME = "100", "0"
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from procaudit.functions.text import STOP_WORDS
 from procaudit.sources.fixtures import with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +80,7 @@ def joined(*cols: str) -> str:
     return " || ' ' || ".join(f"coalesce({c}, '')" for c in cols)
 
 
-STOP_SQL = "(" + ", ".join(f"'{w}'" for w in "a al ante bajo con contra de del desde el en entre es esta las la lo los para por que se sin su sus un una y o u via oral rectal normal".split()) + ")"
+STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 
 
 def words(x: str) -> str:

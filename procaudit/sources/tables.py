@@ -106,9 +106,11 @@ _unset: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; where none is set (tests), in one of our own."""
+    """A new path in the folder that driver and executors share; where none is set, in one of our own if all is local."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
+    if base is None and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if base is None:
         base = _unset.get(context.applicationId) or _unset.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
     return f"{base}/{name}-{uuid.uuid4().hex}"
