@@ -1,11 +1,15 @@
 """Work follows what differs: rows are dealt by visit once, and equal texts are worked on once."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from procaudit.operators import tfidf as I
+from procaudit.operators.grams import Featurizer, fit_vocabulary
 from procaudit.sources import fixtures
+from procaudit.sources.tables import saved
 
 SF = "/root/testdata/sf0.001"
 with_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test data are not here")
@@ -32,3 +36,26 @@ def test_joins_in_another_order_have_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "JOINS", ("", ""))
     monkeypatch.setattr(fixtures, "LOOKING_UP", ())
     assert ours == sorted(map(repr, fixtures.table(spark, SF, "audit_detail").select(rows.columns).collect()))
+
+
+def test_equal_texts_are_worked_on_once(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(30)]
+    texts = [" ".join(rng.choices(words, k=6)) for _ in range(12)] + ["", "áb é"]
+    rows = spark.createDataFrame([(i, texts[i * 5 % len(texts)] if i % 9 else None) for i in range(300)], "id long, text string")
+    different, owners = I.distinct_texts(rows)
+    assert different.count() == len(texts) and owners.count() == 300
+    assert {r["id"] for r in owners.collect()} == {r["id"] for r in different.collect()}
+    once, each = different.select("copies", "text"), rows.select(F.lit(1).alias("copies"), F.coalesce("text", F.lit("")).alias("text"))
+    vocabulary = fit_vocabulary(once, 1)
+    assert sorted(vocabulary.collect()) == sorted(fit_vocabulary(each, 1).collect())
+    packed = Featurizer(vocabulary).lists(different.select("id", "text"))
+    counts = I.gram_counts(different)
+    tidy = I.tfidf_transform(counts, vocabulary)
+    mean = tidy.groupBy("id").agg(F.sum("weight").alias("w"))
+    got = {r["id"]: sum(r["weights"]) for r in packed.collect() if r["grams"]}
+    assert got == {r["id"]: pytest.approx(r["w"]) for r in mean.collect()}
+    again = lambda df: saved(df, "again")
+    key = lambda df: sorted((r["q_id"], r["id"], round(r["score"], 9)) for r in df.collect())
+    assert key(I.top_matches(I.cosine_top(again(packed), packed))) == key(I.top_matches(I.cosine_top(again(tidy), tidy)))
+    assert key(I.nn_tfidf(again(packed), packed, again(different), different)) == key(I.nn_tfidf(again(tidy), tidy, again(different), different))
