@@ -59,3 +59,11 @@ def test_equal_texts_are_worked_on_once(spark):
     key = lambda df: sorted((r["q_id"], r["id"], round(r["score"], 9)) for r in df.collect())
     assert key(I.top_matches(I.cosine_top(again(packed), packed))) == key(I.top_matches(I.cosine_top(again(tidy), tidy)))
     assert key(I.nn_tfidf(again(packed), packed, again(different), different)) == key(I.nn_tfidf(again(tidy), tidy, again(different), different))
+
+
+@with_data
+def test_grams_are_dealt_by_part_before_they_are_made(spark):
+    from procaudit import catalog
+
+    plan = catalog.queries()["char_ngrams"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("REPARTITION_BY_NUM")
